@@ -4,19 +4,19 @@ statistic is a scalar function applied to the finished rows."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from geostat_spark.functions import distributions as dist
 from geostat_spark.functions.scalar import direction_label, ratio, significance_label
 from geostat_spark.operators.ordering import average_rank, value_ranks
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return z.map(dist.normal_two_sided, na_action="ignore").astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(a) or pd.isna(b) else dist.student_two_sided(a, b) for a, b in zip(t, df)],
@@ -24,7 +24,7 @@ def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(a) or pd.isna(b) else dist.chi_square_upper(a, b) for a, b in zip(x, df)],
@@ -32,7 +32,7 @@ def chi_square_p(x: pd.Series, df: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def signed_rank_p(w: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(a) or pd.isna(b) else dist.signed_rank_two_sided(a, int(b)) for a, b in zip(w, n)],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from geostat_spark.functions.scalar import ratio
-from geostat_spark.operators.ordering import value_ranks
+from geostat_spark.operators.ordering import every_rank, value_ranks
 from geostat_spark.operators.profile import capacity_rankings
 
 
@@ -26,50 +26,18 @@ def gini(df: DataFrame, value: str) -> DataFrame:
     )
 
 
-def lorenz_runs(df: DataFrame, value: str) -> DataFrame:
-    """The curve as its corners: one row per distinct value, from rank ``before`` to ``before + n``, with
-    the cumulated value below it. Between corners the curve is a straight line, so nothing is lost."""
-    return value_ranks(df.select(F.col(value).cast("double").alias("v")), "v", weights={"w": F.col("v")})
-
-
 def lorenz_curve(df: DataFrame, value: str, points: int | None = None) -> DataFrame:
     """(rank, x, y) of the Lorenz plot. x runs over n equal steps from 0 to 1 and starts at 0 for the
     first row as well as for the origin, which is rank 0. ``points`` thins the curve to about that many
-    evenly spaced ranks (always with both ends); without it every row has its point.
-
-    A frequent value covers a long run of ranks; runs are cut into pieces before they are expanded, so
-    no task expands more than one piece at a time."""
-    piece = 10_000
-    runs = lorenz_runs(df, value)
-    step = F.lit(1) if points is None else F.greatest(F.lit(1), F.floor(F.col("total") / F.lit(points)))
-    step = step.cast("long")
-    pieces = runs.select(
-        "v",
-        "total",
-        "before",
-        "w_before",
-        "w_total",
-        step.alias("step"),
-        F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"), F.lit(piece).cast("long"))).alias("from"),
-        (F.col("before") + F.col("n")).alias("last"),
-    )
-    if points is None:
-        pieces = pieces.repartition("from")
-    upto = F.least(F.col("from") + F.lit(piece - 1), F.col("last"))
-    first_kept = (F.ceil(F.col("from") / F.col("step")) * F.col("step")).cast("long")
-    kept = F.when(first_kept <= upto, F.sequence(first_kept, upto, F.col("step"))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    last = F.when((upto == F.col("total")) & (F.col("total") % F.col("step") != 0), F.array("total"))
-    ranks = F.concat(kept, F.coalesce(last, F.array().cast("array<bigint>")))
-    curve = pieces.select("*", F.explode(ranks).alias("rank")).select(
+    evenly spaced ranks (always with both ends); without it every row has its point."""
+    step = None if points is None else F.greatest(F.lit(1), F.floor(F.col("total") / F.lit(points)))
+    values = df.select(F.col(value).cast("double").alias("v"))
+    curve = every_rank(values, "v", {"w": F.col("v")}, step).select(
         "rank",
         F.coalesce(ratio(F.col("rank") - 1, F.col("total") - 1), F.lit(0.0)).alias("x"),
         ratio(F.col("w_before") + F.col("v") * (F.col("rank") - F.col("before")), F.col("w_total")).alias("y"),
     )
-    origin = df.sparkSession.range(1).select(
-        F.col("id").alias("rank"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")
-    )
+    origin = df.sparkSession.range(1).select(F.col("id").alias("rank"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     return origin.unionByName(curve)
 
 

@@ -145,3 +145,24 @@ def seeded_hash(id_column: str, seed: int | str) -> Column:
 def hash_position(id_column: str, seed: int | str) -> Column:
     """The leading 60 bits of ``seeded_hash`` as a number, ordered like the text."""
     return F.conv(F.substring(seeded_hash(id_column, seed), 1, 15), 16, 10).cast("long")
+
+
+def every_rank(
+    df: DataFrame, value: str, weights: dict[str, Column] | None = None, keep_every: Column | None = None
+) -> DataFrame:
+    """The columns of ``value_ranks`` for one row per ``rank`` 1..total (or per kept rank: multiples of
+    ``keep_every`` and the last one). A frequent value covers a long run of ranks; runs are cut into
+    pieces and spread before they are expanded, so no task expands more than a piece at a time."""
+    piece = 10_000
+    step = (F.lit(1) if keep_every is None else keep_every).cast("long")
+    runs = value_ranks(df, value, weights=weights).withColumn("_step", step)
+    first, last = F.col("before") + 1, F.col("before") + F.col("n")
+    pieces = runs.withColumn("_from", F.explode(F.sequence(first, last, F.lit(piece).cast("long"))))
+    if keep_every is None:
+        pieces = pieces.repartition("_from")
+    upto = F.least(F.col("_from") + F.lit(piece - 1), last)
+    kept_from = (F.ceil(F.col("_from") / F.col("_step")) * F.col("_step")).cast("long")
+    none = F.array().cast("array<bigint>")
+    kept = F.when(kept_from <= upto, F.sequence(kept_from, upto, F.col("_step"))).otherwise(none)
+    end = F.when((upto == F.col("total")) & (F.col("total") % F.col("_step") != 0), F.array("total")).otherwise(none)
+    return pieces.withColumn("rank", F.explode(F.concat(kept, end))).drop("_from", "_step")
