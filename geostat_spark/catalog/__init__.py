@@ -14,4 +14,4 @@ def load():
     return QUERIES, ORACLES
 
 
-MODULES = ["tabular", "statistics"]
+MODULES = ["tabular", "statistics", "modelling"]
