@@ -14,4 +14,4 @@ def load():
     return QUERIES, ORACLES
 
 
-MODULES = ["tabular", "statistics", "modelling"]
+MODULES = ["tabular", "statistics", "modelling", "clusters"]

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geostat_spark.operators import clean, features, temporal
+from geostat_spark.session import cut
 
 # Fixed values of the mapping.
 RENEWABLE = [
@@ -74,9 +75,10 @@ def valid_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites with every derived feature."""
+    """Sites with every derived feature. The cleaned table is written out first, as it feeds the group
+    medians, the regional shares and the features themselves."""
     return features.derive_features(
-        valid_sites(spark, sf_dir), continents(spark, sf_dir), RENEWABLE, hours_factor=HOURS
+        cut(valid_sites(spark, sf_dir)), continents(spark, sf_dir), RENEWABLE, hours_factor=HOURS
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from geostat_spark.functions.scalar import capacity_factor, finite_or_null, ratio
+from geostat_spark.operators.attach import attach
 from geostat_spark.operators.ordering import quantiles
 
 # The fuels counted as renewable; every other fuel is labelled Fossil.
@@ -44,8 +45,7 @@ def impute_group_median(
     else:
         medians = quantiles(df.select(group, column), column, {"_median": 0.5}, keys=[group])
     return (
-        df.withColumn(flag, F.col(column).isNull().cast("int"))
-        .join(medians, group, "left")
+        attach(df.withColumn(flag, F.col(column).isNull().cast("int")), medians.where(F.col(group).isNotNull()), [group])
         .withColumn(column, F.coalesce(F.col(column), F.col("_median")))
         .drop("_median")
     )
@@ -59,11 +59,11 @@ def add_plant_age(df: DataFrame, reference_year: int = REFERENCE_YEAR) -> DataFr
 def add_continent(df: DataFrame, lookup: DataFrame, key: str = "country_long") -> DataFrame:
     """Left lookup country -> continent; unresolved names read 'Unknown'. ``lookup`` has one row per
     country name."""
-    table = lookup.select(F.col(key).alias("_key"), F.col("continent").alias("_continent"))
+    table = lookup.where(F.col(key).isNotNull()).select(key, F.col("continent").alias("_continent"))
     return (
-        df.join(table, df[key] == table["_key"], "left")
+        attach(df, table, [key])
         .withColumn("continent", F.coalesce(F.col("_continent"), F.lit("Unknown")))
-        .drop("_key", "_continent")
+        .drop("_continent")
     )
 
 
@@ -82,7 +82,7 @@ def add_regional_share(df: DataFrame, group: str = "continent", fit_on: DataFram
     share = group_share(
         df if fit_on is None else fit_on, group, "is_renewable", "capacity_mw", "regional_renewable_share"
     )
-    return df.join(share, group, "left")
+    return attach(df, share, [group])
 
 
 def add_log_capacity(df: DataFrame, capacity: str = "capacity_mw") -> DataFrame:

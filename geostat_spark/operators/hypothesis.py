@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from geostat_spark.functions import distributions as dist
 from geostat_spark.functions.scalar import direction_label, ratio, significance_label
 from geostat_spark.operators.ordering import average_rank, value_ranks
+from geostat_spark.session import cut
 
 
 @F.pandas_udf(T.DoubleType())
@@ -46,17 +47,19 @@ def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
     rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(
         F.col(group).alias("g"), F.col(value).cast("double").alias("v")
     )
-    ranks = value_ranks(rows, "v").select("v", average_rank().alias("rank"), "n", "total")
+    held = cut(rows.groupBy("v", "g").agg(F.count(F.lit(1)).alias("held")))
+    ranks = value_ranks(held, "v", copies=F.col("held")).select("v", average_rank().alias("rank"), "n")
     n = F.col("n").cast("double")
     whole = ranks.agg(
         F.struct(F.sum(n).alias("rows"), F.sum(n * n * n - n).alias("ties")).alias("w")
     ).scalar()
-    held = rows.groupBy("v", "g").agg(F.count(F.lit(1)).alias("held"))
     per_group = held.join(ranks.select("v", "rank"), "v").groupBy("g").agg(
         F.sum("held").alias("n"), F.sum(F.col("held") * F.col("rank")).alias("rank_sum")
     )
-    return per_group.withColumn("w", whole).select(
-        F.col("g").alias(group), "n", "rank_sum", F.col("w.rows").alias("rows"), F.col("w.ties").alias("ties")
+    return cut(
+        per_group.withColumn("w", whole).select(
+            F.col("g").alias(group), "n", "rank_sum", F.col("w.rows").alias("rows"), F.col("w.ties").alias("ties")
+        )
     )
 
 

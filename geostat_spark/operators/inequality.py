@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from geostat_spark.functions.scalar import ratio
 from geostat_spark.operators.ordering import every_rank, value_ranks
 from geostat_spark.operators.profile import capacity_rankings
+from geostat_spark.session import cut
 
 
 def gini(df: DataFrame, value: str) -> DataFrame:
@@ -56,7 +57,7 @@ def _group_sums(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def theil_groups(df: DataFrame, group: str = "continent", value: str = "capacity_mw") -> DataFrame:
     """Count, sum, mean and share of the whole per group. The whole includes rows without a group."""
-    sums = _group_sums(df, group, value)
+    sums = cut(_group_sums(df, group, value))
     whole = sums.agg(F.sum("total").alias("t")).scalar()
     return sums.where(F.col(group).isNotNull()).select(
         F.col(group).alias("group"),
@@ -70,7 +71,7 @@ def theil_groups(df: DataFrame, group: str = "continent", value: str = "capacity
 def theil_index(df: DataFrame, group: str = "continent", value: str = "capacity_mw") -> DataFrame:
     """Theil T: total, within, between and their percentages. Zero and negative values count in the
     sizes and sums but add nothing to the within term."""
-    sums = _group_sums(df, group, value)
+    sums = cut(_group_sums(df, group, value))
     whole = sums.agg(F.struct(F.sum("total").alias("t"), F.sum("count").alias("n")).alias("w")).scalar()
     mean = ratio(F.col("total"), F.col("count"))
     share, share_n = ratio(F.col("total"), F.col("w.t")), ratio(F.col("count"), F.col("w.n"))

@@ -159,9 +159,9 @@ def neighbours(
     """One row per point: id, ``carry``, ``by``, coordinates and ``near``, its k nearest other points as an
     array of (dist, id, carry...) sorted by (dist, id). Rows without coordinates take no part."""
     dims, by, carry = _check(dims), list(by), list(carry)
-    located = points.select(F.col(id_column).alias("id"), *by, *dims, *carry).na.drop(subset=[*by, *dims])
+    located = cut(points.select(F.col(id_column).alias("id"), *by, *dims, *carry).na.drop(subset=[*by, *dims]))
     grid = grid_over(located, dims)
-    locations = _locations(located, dims, k + 1, by, carry)
+    locations = cut(_locations(located, dims, k + 1, by, carry))
     lists = _search(locations, None, grid, k, k + 1, crowded, by)
     near = locations.select("loc", *by, *dims).join(lists, "loc").drop("loc")
     return located.join(near, [*by, *dims]).withColumn(
@@ -201,11 +201,11 @@ def neighbours_between(
     """One row per query: id, coordinates and ``near``, its k nearest rows of ``points``. A query that is
     itself one of the points finds itself first."""
     dims, carry = _check(dims), list(carry)
-    asked = queries.select(F.col(id_column).alias("id"), *dims).na.drop(subset=dims)
-    held = points.select(F.col(id_column).alias("id"), *dims, *carry).na.drop(subset=dims)
+    asked = cut(queries.select(F.col(id_column).alias("id"), *dims).na.drop(subset=dims))
+    held = cut(points.select(F.col(id_column).alias("id"), *dims, *carry).na.drop(subset=dims))
     grid = grid_over(asked.select(*dims).unionByName(held.select(*dims)), dims)
-    places = _locations(asked, dims, 1)
-    lists = _search(places, _locations(held, dims, k, carry=carry), grid, k, k, crowded, [])
+    places = cut(_locations(asked, dims, 1))
+    lists = _search(places, cut(_locations(held, dims, k, carry=carry)), grid, k, k, crowded, [])
     near = places.select("loc", *dims).join(lists, "loc").drop("loc")
     return asked.join(near, dims)
 

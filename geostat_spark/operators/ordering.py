@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from geostat_spark.session import shuffle_width
+from geostat_spark.session import cut, shuffle_width
 
 
 def bucket_bounds(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
@@ -44,25 +44,26 @@ def value_ranks(
     value: str,
     keys: Sequence[str] = (),
     weights: dict[str, Column] | None = None,
-    bounds: Sequence[float] | None = None,
+    copies: Column | None = None,
 ) -> DataFrame:
     """One row per distinct (keys, value), with
 
     * ``n``: rows holding the value, ``before``: rows of the same keys with a smaller value,
       ``total``: rows of the same keys;
     * for each extra weight ``w``: ``w`` (its sum over the value's rows), ``w_before``, ``w_total``.
+
+    ``copies`` says how many rows an input row stands for. The input is read once: the collapsed table is
+    written out before its bucket bounds are taken.
     """
     keys = list(keys)
     weights = dict(weights or {})
     present = df.where(F.col(value).isNotNull())
-    if bounds is None:
-        bounds = bucket_bounds(present.select(value), value)
-    sums = {"n": F.count(F.lit(1)), **{k: F.sum(c) for k, c in weights.items()}}
-    per_value = (
-        present.groupBy(*keys, value)
-        .agg(*[c.alias(k) for k, c in sums.items()])
-        .withColumn("bucket", bucket_of(F.col(value), bounds))
-    )
+    count = F.count(F.lit(1)) if copies is None else F.sum(copies)
+    sums = {"n": count, **{k: F.sum(c) for k, c in weights.items()}}
+    per_value = cut(present.groupBy(*keys, value).agg(*[c.alias(k) for k, c in sums.items()]))
+    # balance is about the distinct values: they are what the windows below sort
+    bounds = bucket_bounds(per_value.select(value), value)
+    per_value = per_value.withColumn("bucket", bucket_of(F.col(value), bounds))
     totals = per_value.groupBy(*keys, "bucket").agg(*[F.sum(k).alias(f"t_{k}") for k in sums])
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
     earlier = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,11 +99,9 @@ def average_rank() -> Column:
     return F.col("before") + (F.col("n") + F.lit(1)) / F.lit(2.0)
 
 
-def quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (), bounds=None
-) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
     """Exact linearly interpolated quantiles per key: one output column per entry of ``probs``."""
-    return quantiles_of_ranks(value_ranks(df, value, keys, bounds=bounds), value, probs, keys)
+    return quantiles_of_ranks(value_ranks(df, value, keys), value, probs, keys)
 
 
 def quantiles_of_ranks(
@@ -123,7 +122,7 @@ def quantiles_of_ranks(
 def with_row_number(df: DataFrame, key: Column, tie: str, name: str = "row_no") -> DataFrame:
     """1-based position in the order of (key, tie). ``key`` must be close to unique (an id, a hash of
     an id): its buckets are balanced because no single value of it is frequent."""
-    keyed = df.withColumn("_key", key)
+    keyed = cut(df.withColumn("_key", key))
     bounds = bucket_bounds(keyed.select("_key"), "_key")
     cut_up = keyed.withColumn("_bucket", bucket_of(F.col("_key"), bounds))
     sizes = cut_up.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))

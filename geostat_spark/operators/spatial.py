@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geostat_spark.functions.scalar import ratio
+from geostat_spark.operators.attach import attach
 from geostat_spark.operators.clean import keep_top_categories
 from geostat_spark.operators.components import component_count
 from geostat_spark.operators.hypothesis import normal_p
@@ -38,7 +39,7 @@ def centred(points: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     rows = points.where(F.col(value).isNotNull())
     if by:
         means = rows.groupBy(*by).agg(F.avg(value).alias("_mean"))
-        return rows.join(means, list(by)).withColumn("z", F.col(value) - F.col("_mean")).drop("_mean")
+        return attach(rows, means, list(by), "inner").withColumn("z", F.col(value) - F.col("_mean")).drop("_mean")
     return rows.withColumn("z", F.col(value) - rows.agg(F.avg(value)).scalar())
 
 

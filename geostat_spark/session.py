@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,20 +24,26 @@ def local_session(cores: int | str = 8, app: str = "geostat-spark") -> SparkSess
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session. Only a local session
+    that names none gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        named = tempfile.mkdtemp(prefix="geostat-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written to the shared checkpoint folder, so a lost executor
-    costs a re-read and not a recomputation. The folder comes from ``spark.checkpoint.dir``; only a
-    local session that names none gets a folder of its own."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix=f"geostat-checkpoint-{os.getpid()}-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder as a table and go on from that table.
+
+    What was computed is computed once: a lost executor costs a re-read, later steps read only the columns
+    they use, and the table's real size lets Spark choose between broadcast and shuffle joins."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(df: DataFrame) -> int:
