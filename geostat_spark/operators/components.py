@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from geostat_spark.session import cut
 
+# Up to this many links one task joins them all; more are contracted in rounds over all tasks.
+ONE_TASK_LINKS = 1_000_000
+
+
+def _join_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Smallest reachable id of every linked node."""
+    root: dict = {}
+
+    def find(x):
+        top = x
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            root.setdefault(u, u)
+            root.setdefault(v, v)
+            a, b = find(u), find(v)
+            if a < b:
+                root[b] = a
+            elif b < a:
+                root[a] = b
+    yield pd.DataFrame([(x, find(x)) for x in list(root)], columns=["u", "v"])
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -22,15 +52,22 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v")))
 
 
-def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(
+    nodes: DataFrame, links: DataFrame, max_rounds: int = 100, one_task_links: int = ONE_TASK_LINKS
+) -> DataFrame:
     """(id, component): component is the smallest id reachable over the undirected links (src, dst).
 
-    Every node ends up linked straight to its smallest reachable id; each round is a few aggregations by
+    A counted, small set of links is joined in one task. Otherwise every node ends up linked straight to its smallest reachable id; each round is a few aggregations by
     node, written out so that the plan does not grow. Stops when a round changes nothing."""
     current = cut(
         links.select(F.col("src").alias("u"), F.col("dst").alias("v")).where(F.col("u") != F.col("v")).distinct()
     )
 
+    if current.count() <= one_task_links:
+        kind = dict(current.dtypes)["u"]
+        current = cut(current.coalesce(1).mapInPandas(_join_all, f"u {kind}, v {kind}"))
+        return _rooted(nodes, current)
+
     def mark(df: DataFrame):
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -43,6 +80,10 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 1
         before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return _rooted(nodes, current)
+
+
+def _rooted(nodes: DataFrame, current: DataFrame) -> DataFrame:
     roots = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
