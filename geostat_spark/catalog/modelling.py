@@ -6,7 +6,7 @@ every operator on whole tables, the defaults are those of the functions they cal
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,7 +16,7 @@ from geostat_spark.catalog.statistics import _SPLIT, fold_scores
 from geostat_spark.catalog.tabular import r
 from geostat_spark.operators import ensemble, evaluation, hypothesis, models, resampling, shap, splits
 from geostat_spark.plans import reports
-from geostat_spark.session import cut
+from geostat_spark.session import cut, shared_folder
 from geostat_spark.sources import models as stored, tables
 
 
@@ -140,9 +140,7 @@ def _small_learners():
 def _(spark, d):
     """Fitted models are saved, found again and compared on the stored test part."""
     _, train, test = _train_test(spark, d)
-    shelf = tempfile.mkdtemp(prefix="geostat-models-") if spark.sparkContext.master.startswith("local") else (
-        f"{spark.conf.get('spark.checkpoint.dir')}/models-{spark.sparkContext.applicationId}"
-    )
+    shelf = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
     fitted = {}
     for name, maker in _small_learners().items():
         stored.load_or_fit(spark, f"{shelf}/{name}", lambda: maker(train).fit(train))
@@ -292,9 +290,7 @@ def _(spark, d):
     from geostat_spark.catalog.inputs import raw_sites
     from geostat_spark.operators.clean import coerce_numeric
 
-    where = tempfile.mkdtemp(prefix="geostat-csv-") if spark.sparkContext.master.startswith("local") else (
-        f"{spark.conf.get('spark.checkpoint.dir')}/csv-{spark.sparkContext.applicationId}"
-    )
+    where = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     tables.write_csv(raw_sites(spark, d).select("site_id", "country_long", "primary_fuel", "capacity_mw"), f"{where}/sites")
     back = coerce_numeric(tables.read_sites_csv(spark, f"{where}/sites"), ["capacity_mw"])
     return back.withColumn("site_id", F.col("site_id").cast("long"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from geostat_spark.functions.scalar import coerce_double, finite_or_null
+from geostat_spark.functions.scalar import coerce_double, finite_or_null, nan_to_null
 from geostat_spark.operators.ordering import seeded_hash
 
 # The columns a site must have, and the ones read as numbers.
@@ -23,8 +23,16 @@ def drop_missing(df: DataFrame, columns: Sequence[str] = CRITICAL_COLUMNS) -> Da
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
-    """Read the listed columns as doubles where they exist; bad values become NULL."""
-    return df.withColumns({c: coerce_double(F.col(c)) for c in columns if c in df.columns})
+    """Read the listed columns as doubles where they exist; bad values become NULL. A column that holds
+    numbers already is not taken through text, so that later filters on it reach the scan."""
+    return df.withColumns({c: _as_double(df, c) for c in columns if c in df.columns})
+
+
+def _as_double(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return nan_to_null(F.col(name).cast("double"))
+    return F.col(name).cast("double") if isinstance(kind, T.NumericType) else coerce_double(F.col(name))
 
 
 def clean(
@@ -58,8 +66,8 @@ def cleaning_funnel(
         .select(
             "_copies",
             present.alias("_complete"),
-            coerce_double(F.col(generation)).alias(generation),
-            coerce_double(F.col(capacity)).alias(capacity),
+            _as_double(df, generation).alias(generation),
+            _as_double(df, capacity).alias(capacity),
         )
     )
     has_critical = F.col("_complete")

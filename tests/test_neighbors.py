@@ -54,8 +54,10 @@ def frame(spark, xy, ids):
     return spark.createDataFrame(pdf), cols
 
 
-@pytest.mark.parametrize("shape", [uniform, clustered, stacked])
-@pytest.mark.parametrize("d,k,crowded", [(2, 4, None), (3, 3, 16), (2, 5, 12)])
+@pytest.mark.parametrize(
+    "shape,d,k,crowded",
+    [(uniform, 2, 4, None), (clustered, 2, 5, 12), (clustered, 3, 3, 16), (stacked, 3, 3, 16), (stacked, 2, 4, None)],
+)
 def test_knn_equals_brute_force(spark, shape, d, k, crowded):
     xy = shape(240, d)
     ids = rng.permutation(240) + 1000
