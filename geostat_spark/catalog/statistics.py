@@ -51,11 +51,11 @@ def _(spark, d):
     return r(r(out, 9, "total", "within", "between"), 7, "within_percentage", "between_percentage")
 
 
-@query("theil_groups", sql("""SELECT grp AS "group", n AS count, round(total, 2) AS total_capacity, round(mean, 5) AS mean_capacity,
+@query("theil_groups", sql("""SELECT grp AS "group", n AS count, round(total, 2) AS total_capacity, round(mean, 6) AS mean_capacity,
  round(share, 9) AS share_of_total FROM theil_groups""", "theil_groups"))
 def _(spark, d):
     out = inequality.theil_groups(sites(spark, d))
-    return r(r(r(out, 2, "total_capacity"), 5, "mean_capacity"), 9, "share_of_total")
+    return r(r(r(out, 2, "total_capacity"), 6, "mean_capacity"), 9, "share_of_total")
 
 
 @query("inequality_summary", sql("""

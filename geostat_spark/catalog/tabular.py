@@ -146,11 +146,11 @@ def _(spark, d):
     )
 
 
-@query("groups_with_enough_rows", sql("""SELECT country_long, count(*) AS n, round(avg(capacity_mw), 4) AS mean_capacity
+@query("groups_with_enough_rows", sql("""SELECT country_long, count(*) AS n, round(avg(capacity_mw), 6) AS mean_capacity
 FROM raw_sites GROUP BY 1 HAVING count(*) >= 50""", "raw_sites"))
 def _(spark, d):
     return clean.groups_at_least(
-        raw_sites(spark, d), ["country_long"], 50, F.round(F.avg("capacity_mw"), 4).alias("mean_capacity")
+        raw_sites(spark, d), ["country_long"], 50, F.round(F.avg("capacity_mw"), 6).alias("mean_capacity")
     )
 
 
@@ -363,17 +363,17 @@ def _(spark, d):
 _NUM = ["capacity_mw", "latitude", "longitude", "commissioning_year", "estimated_generation_gwh_2017"]
 
 
-@query("describe", sql(" UNION ALL ".join(f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
- round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75, round(max({c}), 4) AS max FROM raw_sites"""
+@query("describe", sql(" UNION ALL ".join(f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
+ round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS max FROM raw_sites"""
     for c in _NUM), "raw_sites"))
 def _(spark, d):
-    return r(profile.describe(raw_sites(spark, d), _NUM), 4)
+    return r(profile.describe(raw_sites(spark, d), _NUM), 6)
 
 
-@query("table_totals", sql("""SELECT round(sum(capacity_mw), 2) AS total, round(avg(capacity_mw), 5) AS mean, median(capacity_mw) AS median,
+@query("table_totals", sql("""SELECT round(sum(capacity_mw), 2) AS total, round(avg(capacity_mw), 6) AS mean, median(capacity_mw) AS median,
  count(DISTINCT country) AS distinct_keys FROM raw_sites""", "raw_sites"))
 def _(spark, d):
-    return r(r(profile.table_totals(raw_sites(spark, d), "capacity_mw", "country"), 2, "total"), 5, "mean")
+    return r(r(profile.table_totals(raw_sites(spark, d), "capacity_mw", "country"), 2, "total"), 6, "mean")
 
 
 @query("class_comparison", sql("""SELECT is_renewable, count(*) AS n, round(avg(capacity_factor), 9) AS mean, round(median(capacity_factor), 9) AS median

@@ -79,5 +79,6 @@ def year_of_column(name: Column) -> Column:
 
 
 def half_even(c: Column, digits: int = 3) -> Column:
-    """Round ties to the even digit, as the reported tables do."""
-    return F.bround(c, digits)
+    """Round ties to the even digit, as the reported tables do. Five more digits are settled first, so that
+    the residue of a sum, which depends on the order of its rows, does not decide a tie."""
+    return F.bround(F.round(c, digits + 5), digits)
