@@ -363,11 +363,11 @@ def _(spark, d):
 _NUM = ["capacity_mw", "latitude", "longitude", "commissioning_year", "estimated_generation_gwh_2017"]
 
 
-@query("describe", sql(" UNION ALL ".join(f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
- round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS max FROM raw_sites"""
+@query("describe", sql(" UNION ALL ".join(f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 7) AS mean, round(stddev_samp({c}), 7) AS std,
+ round(min({c}), 7) AS min, round(quantile_cont({c}, 0.25), 7) AS q25, round(quantile_cont({c}, 0.5), 7) AS q50, round(quantile_cont({c}, 0.75), 7) AS q75, round(max({c}), 7) AS max FROM raw_sites"""
     for c in _NUM), "raw_sites"))
 def _(spark, d):
-    return r(profile.describe(raw_sites(spark, d), _NUM), 6)
+    return r(profile.describe(raw_sites(spark, d), _NUM), 7)
 
 
 @query("table_totals", sql("""SELECT round(sum(capacity_mw), 2) AS total, round(avg(capacity_mw), 6) AS mean, median(capacity_mw) AS median,
