@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def local_session(cores: int | str = 8, app: str = "geostat-spark") -> SparkSession:
     """A session for tests and benches; on a cluster, pass your own session to the operators."""
@@ -26,25 +28,45 @@ def local_session(cores: int | str = 8, app: str = "geostat-spark") -> SparkSess
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session. Only a local session
-    that names none gets a folder of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    that names none gets a folder of its own, kept as the context's checkpoint folder."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="geostat-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="geostat-"))
+        named = context.getCheckpointDir()
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used; ``release`` deletes what was written there."""
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write the rows to the shared folder as a table and go on from that table.
 
     What was computed is computed once: a lost executor costs a re-read, later steps read only the columns
     they use, and the table's real size lets Spark choose between broadcast and shuffle joins."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(df.sparkSession)
+    writer = df.write
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete every table this process has cut so far; results that still read them must be written first."""
+    deleted = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        deleted += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return deleted
+
+
 def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
