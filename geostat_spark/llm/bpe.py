@@ -17,6 +17,9 @@ space_free = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u
 separators = re.compile("[\x1c-\x1f]").search
 
 
+KINDS = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+
+
 class Merges:
     """The tokens that merging can reach, and which of them may stand side by side."""
 
@@ -135,8 +138,6 @@ class Encoder:
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > self.remembered:
-            self.chunks.clear()
         if len(self.pieces) > self.remembered:
             self.pieces.clear()
         parts = {c: self._pieces_of(c) for c in chunks}
@@ -161,11 +162,11 @@ class Encoder:
                 chunks = space_free(part) if separators(part) else part.split()
                 known = self.chunks
                 unknown = {c for c in chunks if c not in known}
+                if len(known) + len(unknown) > self.remembered:
+                    known.clear()
+                    unknown = set(chunks)
                 if unknown:
-                    before = len(known)
                     self._learn(unknown)
-                    if len(known) < before + len(unknown):  # it forgot: learn the rest of this text again
-                        self._learn({c for c in chunks if c not in known})
                 found = [known[c] for c in chunks]
             n += sum([f[0] for f in found])
             ids += [f[1] for f in found if f[0]]
@@ -190,7 +191,7 @@ def _per_text(docs: DataFrame, definition: str, id: str, text: str, fields: str,
         for batch in batches:
             encoder = encoder or Encoder(shared.value)
             found = [of(encoder, t.as_py()) for t in batch.column("text")]
-            columns = [pa.array(c) for c in zip(*found)]
+            columns = [pa.array(c, KINDS[f.split()[1]]) for c, f in zip(zip(*found), fields.split(", "))]
             if columns:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", *[f.split()[0] for f in fields.split(", ")]])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geostat_spark.llm.text import lower_ascii
+from geostat_spark.llm.text import fresh, lower_ascii
 from geostat_spark.session import cut
 
 CHUNK = 32768  # bits of one row that bitmap_construct_agg returns
@@ -95,20 +95,14 @@ def drop_exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text
     """The documents, all columns, with one row left of each group of equal texts (see ``exact_dedup``).
 
     Rows that repeat id and text but differ in other columns leave one of them."""
+    key, sha, own, stays = fresh(docs, "_id", "_sha", "_own", "_stays")
     digest = F.sha2(lower_ascii(F.coalesce(F.col(text), F.lit(""))), 256)
-    gone = (
-        exact_dedup(docs, id, text, **options)
-        .where("group_size > 1")
-        .groupBy(F.col(id).alias("_id"), F.col("text_sha256").alias("_sha"))
-        .agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_copies"))
-        .where("not _stays or _copies > 1")
-    )
-    gone = cut(gone)
-    marked = docs.withColumn("_digest", digest).join(
-        gone, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left"
-    )
-    rest = marked.where("_stays is null").select(*docs.columns)
-    if gone.where("_stays").isEmpty():
+    found = exact_dedup(docs, id, text, **options).where("group_size > 1")
+    pairs = found.groupBy(F.col(id).alias(key), F.col("text_sha256").alias(sha)).agg(F.max("kept").alias(stays), F.count(F.lit(1)).alias("n"))
+    gone = cut(pairs.where(~F.col(stays) | (F.col("n") > 1)).drop("n"))
+    marked = docs.withColumn(own, digest).join(gone, F.col(id).eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha)), "left")
+    rest = marked.where(F.col(stays).isNull()).select(*docs.columns)
+    if gone.where(F.col(stays)).isEmpty():
         return rest
-    twins = marked.where("_stays").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    twins = marked.where(F.col(stays)).dropDuplicates([key, sha]).select(*docs.columns)
     return rest.unionByName(twins)

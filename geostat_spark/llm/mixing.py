@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from geostat_spark.llm.text import n_words
+from geostat_spark.llm.text import fresh, n_words
 from geostat_spark.session import cut
 
 SETTLED = 1e-9
@@ -174,7 +174,7 @@ def mix_sources(
 
 def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents, all columns, each as often as ``mix_sources`` takes it."""
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    times = mix_sources(numbered, id, text, source, row="_row", **options).where("times > 0").select("_row", "times")
-    copies = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return numbered.join(times, "_row").withColumn("_copy", copies).select(*docs.columns)
+    row, copy = fresh(docs, "_row", "_copy")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    times = mix_sources(numbered, id, text, source, row=row, **options).where("times > 0").select(row, F.col("times").alias(copy))
+    return numbered.join(times, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)

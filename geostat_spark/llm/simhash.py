@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from geostat_spark.llm.text import LOWERED, words_in
+from geostat_spark.llm.text import LOWERED, fresh, words_in
 from geostat_spark.operators.components import connected_components
 from geostat_spark.session import cut
 
@@ -207,6 +207,7 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
     """The documents, all columns, with the one of smallest id left of each component (``simhash_near_dedup``).
 
     Rows whose id is null are kept when their component has no id at all."""
+    (key,) = fresh(docs, "_id")
     found = simhash_near_dedup(docs, id, text, **options)
-    gone = found.where(~F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("_id")).distinct()
-    return docs.join(cut(gone), F.col(id).eqNullSafe(F.col("_id")), "left_anti")
+    gone = found.where(~F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias(key)).distinct()
+    return docs.join(cut(gone), F.col(id).eqNullSafe(F.col(key)), "left_anti")

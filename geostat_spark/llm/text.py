@@ -37,3 +37,13 @@ def n_words(text: Column) -> Column:
 def hash_part(key: Column, parts: int) -> Column:
     """crc32 of the key's decimal text modulo ``parts``."""
     return F.crc32(key.cast("string")) % parts
+
+
+def fresh(df, *names: str) -> list[str]:
+    """The names, each lengthened until no column of the table (in any case) has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
