@@ -32,7 +32,7 @@ class Settings:
     most_filter_bytes: int = 256 << 20
     hot_words: int = 300_000
     weight: float = 5.0
-    bytes_per_part: int = 16 << 20
+    bytes_per_part: int = 4 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -83,7 +83,7 @@ def _text_bytes(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield text.as_py() or b""
 
 
-def _groups(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[list[bytes]]:
+def _groups(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[list[bytes]]:
     """Texts in groups of about ``most`` bytes."""
     held, size = [], 0
     for data in _text_bytes(batch):
