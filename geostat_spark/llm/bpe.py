@@ -31,7 +31,12 @@ class Merges:
             self.rank.setdefault((left, right), rank)
             self.made.setdefault(left + right, (rank, left, right))
         self.reached = {t for t, (rank, left, right) in self.made.items() if not self._crossed(left, right, rank)}
-        self.longest = max((self.symbols(t) for t in self.reached), default=1)
+        #: The most symbols of a token that ends in a symbol.
+        self.longest: dict[str, int] = {}
+        for token in self.reached:
+            n = self.symbols(token)
+            end = token[n - 1 :]
+            self.longest[end] = max(n, self.longest.get(end, 1))
         self._apart: dict[tuple[str, str], bool] = {}
 
     def symbols(self, token: str) -> int:
@@ -71,9 +76,6 @@ class Merges:
             known = self._apart[key] = not self._crossed(left, right, float("inf"))
         return known
 
-    def is_token(self, text: str, symbols: int) -> bool:
-        return symbols == 1 or text in self.reached
-
     def encode_all(self, words: Iterable[str]) -> dict[str, list[str]]:
         """The tokens of every word.
 
@@ -87,21 +89,25 @@ class Merges:
                 node = node.setdefault(symbol, {})
             node.setdefault(word[-1] + self.suffix, word)
         out: dict[str, list[str]] = {}
-        last: list[str] = [""]  # by depth, of the path walked
-        size: list[int] = [0]
-        path = ""
+        last, size = [""], [0]  # by depth, of the path walked
+        path, reached, longest, apart = "", self.reached, self.longest, self._apart
         stack: list = [(0, symbol, child) for symbol, child in root.items()]
         while stack:
             depth, symbol, child = stack.pop()
-            del last[depth + 1 :], size[depth + 1 :]
             path = path[:depth] + symbol
             depth += 1
-            for begin in range(max(0, depth - self.longest), depth):
+            begin = max(0, depth - longest.get(symbol, 1))
+            token = path[begin:]
+            while begin < depth - 1 and token not in reached or begin and not (
+                apart[last[begin], token] if (last[begin], token) in apart else self.stand(last[begin], token)
+            ):
+                begin += 1
                 token = path[begin:]
-                if self.is_token(token, depth - begin) and (not begin or self.stand(last[begin], token)):
-                    last.append(token)
-                    size.append(depth - begin)
-                    break
+            if depth == len(last):
+                last.append(token)
+                size.append(depth - begin)
+            else:
+                last[depth], size[depth] = token, depth - begin
             if isinstance(child, str):
                 tokens, at = [], depth
                 while at:
@@ -147,34 +153,35 @@ class Encoder:
             tokens = [t for p in ps for t in self.pieces[p]]
             self.chunks[chunk] = (len(tokens), " ".join([str(self.ids[t]) for t in tokens]), " ".join(tokens))
 
-    def _parts(self, text: str) -> list[str]:
-        if self.split_special and "<|" in text:
-            return self.split_special(text)
-        return [text]
-
-    def describe(self, text: str | None) -> tuple[int, str, str]:
-        """(number of tokens, ids joined by spaces, decoded text): a decoder-less tokenizer joins by spaces."""
-        n, ids, decoded = 0, [], []
-        for part in self._parts(text or ""):
-            if part in self.special:
-                found = [(1, str(self.special[part]), part)]
-            else:
-                chunks = space_free(part) if separators(part) else part.split()
-                known = self.chunks
-                unknown = {c for c in chunks if c not in known}
-                if len(known) + len(unknown) > self.remembered:
-                    known.clear()
-                    unknown = set(chunks)
-                if unknown:
-                    self._learn(unknown)
-                found = [known[c] for c in chunks]
-            n += sum([f[0] for f in found])
-            ids += [f[1] for f in found if f[0]]
-            decoded += [f[2] for f in found if f[0]]
-        return n, " ".join(ids), " ".join(decoded)
+    def split(self, text: str | None) -> list[tuple[str | None, list[str]]]:
+        """The text as special tokens and, between them, white-space-free chunks."""
+        text = text or ""
+        parts = self.split_special(text) if self.split_special and "<|" in text else [text]
+        return [(p, []) if p in self.special else (None, space_free(p) if separators(p) else p.split()) for p in parts]
+
+    def prepare(self, texts: list[list[tuple[str | None, list[str]]]]) -> None:
+        """Encode all chunks of the split texts that are not remembered, in one trie."""
+        known = self.chunks
+        unknown = {c for text in texts for _, chunks in text for c in chunks if c not in known}
+        if len(known) + len(unknown) > self.remembered:
+            known.clear()
+            unknown = {c for text in texts for _, chunks in text for c in chunks}
+        if unknown:
+            self._learn(unknown)
+
+    def describe(self, split: list[tuple[str | None, list[str]]]) -> tuple[int, str, str]:
+        """(number of tokens, ids joined by spaces, decoded text) of a prepared text: without a decoder, tokens
+        are joined by spaces."""
+        known, found = self.chunks, []
+        for special, chunks in split:
+            found += [(1, str(self.special[special]), special)] if special else [known[c] for c in chunks]
+        found = [f for f in found if f[0]]
+        return sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for i in self.describe(text)[1].split()]
+        split = self.split(text)
+        self.prepare([split])
+        return [int(i) for i in self.describe(split)[1].split()]
 
     def decode(self, ids: Iterable[int]) -> str:
         names = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
@@ -182,7 +189,7 @@ class Encoder:
 
 
 def _per_text(docs: DataFrame, definition: str, id: str, text: str, fields: str, of) -> DataFrame:
-    """(id, fields): ``of(encoder, text)`` for every row."""
+    """(id, fields): ``of(encoder.describe(text))`` for every row; texts share a trie in groups of about 8 MB."""
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # one tokenizer's file, whatever the data's size
 
@@ -190,7 +197,16 @@ def _per_text(docs: DataFrame, definition: str, id: str, text: str, fields: str,
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(shared.value)
-            found = [of(encoder, t.as_py()) for t in batch.column("text")]
+            found, group, size = [], [], 0
+            for text_ in batch.column("text"):
+                group.append(encoder.split(text_.as_py()))
+                size += len(text_.as_py() or "")
+                if size > 1 << 23:
+                    encoder.prepare(group)
+                    found += [of(encoder.describe(t)) for t in group]
+                    group, size = [], 0
+            encoder.prepare(group)
+            found += [of(encoder.describe(t)) for t in group]
             columns = [pa.array(c, KINDS[f.split()[1]]) for c, f in zip(zip(*found), fields.split(", "))]
             if columns:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", *[f.split()[0] for f in fields.split(", ")]])
@@ -203,7 +219,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id: str = "doc_id", text: str =
 
     Null and empty texts have no tokens. Null ids, repeated rows and other columns do not matter. The strings of
     special tokens in a text are those tokens. No rows give no rows. ``tokenizer_path`` is read by the driver."""
-    return _per_text(docs, _definition(tokenizer_path), id, text, "ids array<int>", lambda e, t: (e.encode(t),))
+    return _per_text(docs, _definition(tokenizer_path), id, text, "ids array<int>", lambda d: ([int(i) for i in d[1].split()],))
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -225,8 +241,8 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _digests(encoder: Encoder, text: str | None) -> tuple[int, str, str]:
-    n, ids, decoded = encoder.describe(text)
+def _digests(described: tuple[int, str, str]) -> tuple[int, str, str]:
+    n, ids, decoded = described
     return n, _sha(ids), _sha(decoded)
 
 

@@ -207,7 +207,7 @@ def train(texts: DataFrame, settings: Settings) -> tuple[Model, DataFrame]:
     One shuffle brings each n-gram's counts together; a part of the filter is built where they meet."""
     total = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     parts = max(1, -(-total // settings.bytes_per_part))
-    counted = n_gram_counts(texts, parts)
+    counted = n_gram_counts(texts, parts).repartition(parts, "part")  # a part a task, so that sorts stay small
     kind = "part int, bits binary, entries long, most int, hashes array<long>, counts array<long>"
     # An entry takes bits_per_entry unless all entries together, at most one a byte of text, would pass the bound.
     bits = settings.bits_per_entry
