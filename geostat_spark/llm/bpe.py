@@ -122,7 +122,7 @@ class Merges:
 class Encoder:
     """Encodes and decodes whole texts; what it remembers of words is bounded by ``remembered`` entries."""
 
-    def __init__(self, definition: str, remembered: int = 300_000):
+    def __init__(self, definition: str, remembered: int = 600_000):
         from tokenizers import Tokenizer
 
         stated = json.loads(definition)
@@ -175,8 +175,12 @@ class Encoder:
         known, found = self.chunks, []
         for special, chunks in split:
             found += [(1, str(self.special[special]), special)] if special else [known[c] for c in chunks]
-        found = [f for f in found if f[0]]
-        return sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+        if not found:
+            return 0, "", ""
+        counts, ids, decoded = zip(*found)
+        if 0 in counts:
+            ids, decoded = filter(None, ids), filter(None, decoded)
+        return sum(counts), " ".join(ids), " ".join(decoded)
 
     def encode(self, text: str | None) -> list[int]:
         split = self.split(text)
