@@ -22,3 +22,25 @@ def attach(
     if len(head) <= limit:
         groups = F.broadcast(df.sparkSession.createDataFrame(head, groups.schema))
     return df.join(groups, list(keys), how)
+
+
+def attach_counted(
+    df: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, spread: str, total: int, share: int = 1_000
+) -> DataFrame:
+    """``df`` left-joined with ``groups``: one row per key combination, ``size`` its number of rows in ``df``, which
+    has ``total`` rows.
+
+    Fewer than ``share`` keys can have more than ``total / share`` rows. Only these are broadcast, and their rows
+    are dealt by the column ``spread``, as are rows with a null key; all others meet by key. Neither a hot key
+    nor null fills one task. Columns named _hot, _cold and _salt are not allowed."""
+    values = [c for c in groups.columns if c not in keys]
+    hot = groups.where(F.col(size) * share > total).select(*keys, F.struct(*values).alias("_hot"))
+    cold = groups.where(F.col(size) * share <= total).select(
+        *keys, F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_salt")
+    )
+    by_key = F.col("_hot").isNull()
+    for key in keys:
+        by_key &= F.col(key).isNotNull()
+    salted = df.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.when(by_key, F.lit(0)).otherwise(F.xxhash64(spread)))
+    found = F.coalesce("_hot", "_cold")
+    return salted.join(cold, [*keys, "_salt"], "left").select(*df.columns, *[found[v].alias(v) for v in values])
