@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geostat_spark.llm.text import fresh, lower_ascii
+from geostat_spark.operators.attach import attach_counted
 from geostat_spark.session import cut
 
 CHUNK = 32768  # bits of one row that bitmap_construct_agg returns
@@ -82,7 +83,8 @@ def exact_dedup(
         .agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "row")).alias("best"))
         .where("group_size > 1")
     )
-    return hashed.join(groups, "sha", "left").select(
+    joined = attach_counted(hashed, groups, ["sha"], "group_size", "row", hashed.count())
+    return joined.select(
         F.col("id").alias(id),
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
