@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from geostat_spark.llm.text import LOWERED, fresh, words_in
+from geostat_spark.operators.attach import attach_counted
 from geostat_spark.operators.components import connected_components
 from geostat_spark.session import cut
 
@@ -193,9 +194,10 @@ def simhash_near_dedup(
     links = fingerprint_links(classes.select("fp"), max_bits, run_cap)
     joined = connected_components(classes.select(F.col("fp").alias("id")), links).withColumnRenamed("id", "fp")
     grouped = cut(classes.join(joined, "fp"))
-    lowest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    resolved = grouped.join(lowest, "component").select("fp", "component_id", "n_copies")
-    return marks.join(resolved, "fp").select(
+    lowest = grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    resolved = attach_counted(grouped, lowest, ["component"], "members", "fp", grouped.count())
+    resolved = cut(resolved.select("fp", "component_id", "n_copies"))
+    return attach_counted(marks, resolved, ["fp"], "n_copies", "id", marks.count()).select(
         F.col("id").alias(id),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
