@@ -11,10 +11,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from geostat_spark.operators.attach import attach_counted
 from geostat_spark.session import cut
 
 LINE = "\r\n"
 GZIP = b"\x1f\x8b\x08"
+PIECE = 1 << 16
 find_start = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n").search
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -37,9 +39,8 @@ def with_revisits(pages: DataFrame, id: str = "page_id", url: str = "url", paylo
         .groupBy("digest", "n_bytes")
         .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .drop("n")
     )
-    joined = rows.join(cut(firsts), ["digest", "n_bytes"], "left")
+    joined = attach_counted(rows, cut(firsts), ["digest", "n_bytes"], "n", "id", pages.count()).drop("n")
     return joined.withColumn("first", F.when(F.col("first") != F.col("id"), F.col("first")))
 
 
@@ -138,18 +139,21 @@ def _member(data: bytes, at: int) -> tuple[int, list[tuple[dict[str, str], bytes
     if not data.startswith(GZIP, at):
         end, fields, block = _record(data, at)
         return end, [(fields, block)]
-    unpack = zlib.decompressobj(31)
+    # Fed in pieces: what follows the member is then copied a piece at most, not up to the archive's end.
+    unpack, parts, fed = zlib.decompressobj(31), [], at
     try:
-        plain = unpack.decompress(memoryview(data)[at:]) + unpack.flush()
+        while not unpack.eof and fed < len(data):
+            parts.append(unpack.decompress(data[fed : fed + PIECE]))
+            fed = min(fed + PIECE, len(data))
     except zlib.error as error:
         raise Damaged("gzip member damaged") from error
     if not unpack.eof:
         raise Damaged("gzip member cut off")
-    records, inner = [], 0
+    plain, records, inner = b"".join(parts), [], 0
     while inner < len(plain):
         inner, fields, block = _record(plain, inner)
         records.append((fields, block))
-    return len(data) - len(unpack.unused_data), records
+    return fed - len(unpack.unused_data), records
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
