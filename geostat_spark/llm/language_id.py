@@ -4,7 +4,6 @@ Training is follow-the-regularised-leader with elastic-net penalties, then tempe
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -13,7 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 UNDETERMINED = "und"
-has_letter = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 @dataclass

@@ -146,6 +146,7 @@ def test_language_held_out(spark, docs, none):
     assert len(small) == len(awkward()) and language_id.identify_language(none).count() == 0
     unlabelled = language_id.identify_language(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
+    assert not any(map(language_id.has_letter, ("", "1 2", "½ ² Ⅷ _", "̈!"))) and all(map(language_id.has_letter, ("1a", "漢", "ʰ")))
 
 
 def test_temperature():
@@ -178,6 +179,14 @@ def test_salvage(pack):
         assert sum(f[2] is None for f in found) >= min(4, text.count(parts[2]) * 4)
 
 
+@pytest.mark.parametrize("piece", [1, 7, 1 << 16])
+def test_members_are_fed_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(warc, "PIECE", piece)
+    parts = [gzip.compress(sound(prose(i, 30).encode())) for i in range(4)]
+    found = list(warc.salvage(b"".join(parts)))
+    assert [(f[0], f[1], f[2]) for f in found] == [(sum(map(len, parts[:i])), len(parts[i]), None) for i in range(4)]
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(i, f"http://h/{i}\r\nx" if i % 2 else None, t) for i, t in enumerate([None, "", "same", "same", "é\r\n\r\nWARC/1.1\r\n", "same", "z" * 50_000])]
     rows += [(2, "twice", "same"), (None, "u", "alone")]
