@@ -36,11 +36,11 @@ def attach_counted(
     values = [c for c in groups.columns if c not in keys]
     hot = groups.where(F.col(size) * share > total).select(*keys, F.struct(*values).alias("_hot"))
     cold = groups.where(F.col(size) * share <= total).select(
-        *keys, F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_salt")
-    )
+        *keys, F.struct(*values).alias("_cold"), F.xxhash64(*keys).alias("_salt")
+    )  # a constant would be folded out of the join's keys
     by_key = F.col("_hot").isNull()
     for key in keys:
         by_key &= F.col(key).isNotNull()
-    salted = df.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.when(by_key, F.lit(0)).otherwise(F.xxhash64(spread)))
+    salted = df.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.when(by_key, F.xxhash64(*keys)).otherwise(F.xxhash64(spread)))
     found = F.coalesce("_hot", "_cold")
     return salted.join(cold, [*keys, "_salt"], "left").select(*df.columns, *[found[v].alias(v) for v in values])
