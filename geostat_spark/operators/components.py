@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from geostat_spark.operators.attach import attach_counted
 from geostat_spark.session import cut
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, n_links: int) -> DataFrame:
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    up = attach_counted(both.where(F.col("v") > F.col("u")), low, ["u"], "n", "v", 2 * n_links)
+    return up.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n_links: int) -> DataFrame:
     down = links.where(F.col("u") != F.col("v")).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    met = attach_counted(down, low, ["u"], "n", "v", n_links)
+    moved = met.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v")))
 
 
@@ -26,7 +29,8 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 1
     """(id, component): component is the smallest id reachable over the undirected links (src, dst).
 
     Every node ends up linked straight to its smallest reachable id; each round is a few aggregations by
-    node, written out so that the plan does not grow. Stops when a round changes nothing."""
+    node, written out so that the plan does not grow. Stops when a round changes nothing. Most nodes of a large
+    component link to its root, so rows return to their node's smallest by a join that deals hot nodes out."""
     current = cut(
         links.select(F.col("src").alias("u"), F.col("dst").alias("v")).where(F.col("u") != F.col("v")).distinct()
     )
@@ -36,7 +40,8 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 1
 
     before = mark(current)
     for _ in range(max_rounds):
-        current = cut(_small_star(_large_star(current)).distinct())
+        wide = cut(_large_star(current, before[0]))
+        current = cut(_small_star(wide, before[0]).distinct())
         after = mark(current)
         if after == before:
             break
