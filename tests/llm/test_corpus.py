@@ -375,6 +375,38 @@ def test_scores(spark, docs, none):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in everything)
 
 
+def test_filter_larger_than_a_broadcast_scores_alike(spark):
+    table = spark.read.parquet(f"{DATA}/documents.parquet").unionByName(spark.createDataFrame([(None, None, "en", None, 0), (7, "", "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    texts = [(r["doc_id"], r["held"], words_in(lowered(r["text"])) + [None]) for r in table.withColumn("held", held).collect()]
+    counts, pairs = collections.Counter(), collections.Counter()
+    for _, out, tokens in texts:
+        if not out:
+            counts.update(tokens)
+            pairs.update(zip([None, *tokens], tokens))
+    n, v = sum(counts.values()), len(counts)
+    level = lambda c: (2 ** math.floor(math.log2(c) + 1e-9) * 1.5) if c else 0
+    want = collections.defaultdict(list)
+    for i, _, tokens in texts:
+        score = 0.0
+        for a, b in zip([None, *tokens], tokens):
+            context, single = level(counts[a]), (level(counts[b]) + 0.5) / (n + 0.5 * (v + 1))
+            score += math.log10((min(level(pairs[a, b]), context) + 5 * single) / (context + 5))
+        want[i, len(tokens)].append(score)
+    results = []
+    # The default is one broadcast; of 20,000 bytes the filter, entries at 8 bits each, needs many slices.
+    for most in (256 << 20, 20_000):
+        settings = ngram_lm.Settings(most_filter_bytes=most, bytes_per_part=10_000)
+        model, _ = ngram_lm.train(table.where(~held).select("text"), settings)
+        assert isinstance(model.filter, ngram_lm.Segments) == (most == 20_000)
+        got = ngram_lm.score_documents(table, held, settings=settings).collect()
+        assert len(got) == len(texts)
+        gaps = [min(abs(r["score"] - w) for w in want[r["doc_id"], r["n_tokens"]]) / r["n_tokens"] for r in got if r["held_out"]]
+        assert np.mean(gaps) < 0.1  # log10 a token
+        results.append(sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got))
+    assert np.allclose(np.array(results[0]), np.array(results[1]), rtol=1e-9)
+
+
 def test_level_filter_has_no_misses():
     r = np.random.default_rng(2)
     grams, counts = np.unique(r.integers(0, 2**63, 5000).astype(np.uint64)), None
