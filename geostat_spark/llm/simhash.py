@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from geostat_spark.llm.text import LOWERED, fresh, words_in
 from geostat_spark.operators.attach import attach_counted
@@ -43,19 +43,23 @@ def fingerprint(text: str | None, shingle: int, seed: int) -> int:
 
 
 def fingerprints(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42
+    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, row: str | None = None
 ) -> DataFrame:
-    """(id, fp): the fingerprint of every document as a signed long."""
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    """(id, row, fp): the fingerprint of every document as a signed long; ``row``: a column that numbers the rows,
+    null without one."""
+    number = F.col(row) if row else F.lit(None)
+    rows = docs.select(F.col(id).alias("id"), number.cast("long").alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter(
                 (fingerprint(t.as_py(), shingle, seed) for t in batch.column("text")), dtype=np.uint64, count=batch.num_rows
             )
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("row"), pa.array(found.view(np.int64))], names=["id", "row", "fp"]
+            )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row long, fp long")
 
 
 def _signed(value: int) -> int:
@@ -189,27 +193,45 @@ def simhash_near_dedup(
     shingle is hashed whole. Rows with a null id are kept; they count as larger than any id, so
     ``component_id`` is null only where no id is reachable. Repeated rows stay repeated. Other columns are
     ignored. No rows give no rows."""
-    marks = cut(fingerprints(docs, id, text, shingle, seed))
-    classes = cut(marks.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_copies")))
-    links = fingerprint_links(classes.select("fp"), max_bits, run_cap)
-    joined = connected_components(classes.select(F.col("fp").alias("id")), links).withColumnRenamed("id", "fp")
-    grouped = cut(classes.join(joined, "fp"))
-    lowest = grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    resolved = attach_counted(grouped, lowest, ["component"], "members", "fp", grouped.count())
-    resolved = cut(resolved.select("fp", "component_id", "n_copies"))
+    marks = cut(fingerprints(docs, id, text, shingle, seed).drop("row"))
+    resolved = _resolved(marks, F.min("id"), max_bits, run_cap)
     return attach_counted(marks, resolved, ["fp"], "n_copies", "id", marks.count()).select(
         F.col("id").alias(id),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
+        F.col("least").alias("component_id"),
         "n_copies",
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents, all columns, with the one of smallest id left of each component (``simhash_near_dedup``).
+def _resolved(marks: DataFrame, least: Column, max_bits: int, run_cap: int) -> DataFrame:
+    """(fp, least, n_copies): one row per fingerprint, ``least`` being that minimum over its whole component."""
+    classes = cut(marks.groupBy("fp").agg(least.alias("least"), F.count(F.lit(1)).alias("n_copies")))
+    links = fingerprint_links(classes.select("fp"), max_bits, run_cap)
+    joined = connected_components(classes.select(F.col("fp").alias("id")), links).withColumnRenamed("id", "fp")
+    grouped = cut(classes.join(joined, "fp"))
+    lowest = grouped.groupBy("component").agg(F.min("least").alias("lowest"), F.count(F.lit(1)).alias("members"))
+    resolved = attach_counted(grouped.drop("least"), lowest, ["component"], "members", "fp", grouped.count())
+    return cut(resolved.select("fp", F.col("lowest").alias("least"), "n_copies"))
+
 
-    Rows whose id is null are kept when their component has no id at all."""
-    (key,) = fresh(docs, "_id")
-    found = simhash_near_dedup(docs, id, text, **options)
-    gone = found.where(~F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias(key)).distinct()
-    return docs.join(cut(gone), F.col(id).eqNullSafe(F.col(key)), "left_anti")
+def drop_near_duplicates(
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    shingle: int = 4,
+    max_bits: int = 4,
+    seed: int = 42,
+    run_cap: int = 20_000,
+) -> DataFrame:
+    """The documents, all columns, with one row left of each component (see ``simhash_near_dedup``): that of the
+    smallest id, of rows that share it any one. A null id is larger than any other.
+
+    Rows are told apart by a number of their own, so null ids and ids that occur twice stand for nothing else."""
+    (row,) = fresh(docs, "_row")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    marks = cut(fingerprints(numbered, id, text, shingle, seed, row))
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
+    resolved = _resolved(marks, F.min(first), max_bits, run_cap)
+    found = attach_counted(marks, resolved, ["fp"], "n_copies", "row", marks.count())
+    gone = cut(found.where(F.col("row") != F.col("least.row")).select(F.col("row").alias(row)))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

@@ -113,6 +113,22 @@ def test_simhash(spark, docs, none):
     assert simhash.drop_near_duplicates(docs).columns == docs.columns
 
 
+def test_near_duplicates_go_by_row(spark):
+    a, b, c, d = (prose(s, 80) for s in (11, 12, 13, 14))
+    # Null ids beside an id, alone and unique; an id with two texts; one id on two equal texts; two texts under two ids.
+    rows = [(None, a), (1, a), (None, b), (None, c), (None, c), (5, d), (5, a), (3, prose(15, 80)), (5, prose(15, 80))]
+    rows += [(7, prose(16, 80)), (7, prose(16, 80)), (9, d), (8, prose(17, 80)), (7, prose(17, 80))]
+    marks = [brute_fingerprint(t) for _, t in rows]
+    group = components(list(range(len(rows))), lambda i, j: (marks[i] ^ marks[j]).bit_count() <= 4)
+    want = collections.Counter()
+    for g in set(group):
+        members = [r for r, own in zip(rows, group) if own == g]
+        want[min(members, key=lambda r: (r[0] is None, r[0] or 0))] += 1
+    assert len(set(group)) == 7 and want[None, b] == want[None, c] == want[5, d] == want[7, prose(17, 80)] == 1
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert collections.Counter(map(tuple, got.collect())) == want
+
+
 @pytest.mark.parametrize("cap", [20_000, 7])
 @pytest.mark.parametrize("max_bits", [3, 4])
 def test_links_join_all_that_is_reachable(spark, cap, max_bits):
