@@ -17,6 +17,7 @@ from geostat_spark.session import cut
 LINE = "\r\n"
 GZIP = b"\x1f\x8b\x08"
 PIECE = 1 << 16
+find_version = re.compile(rb"WARC/1\.[01]\r\n").search
 find_start = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n").search
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -134,52 +135,120 @@ def payload_of(fields: dict[str, str], block: bytes) -> bytes:
     return block
 
 
-def _member(data: bytes, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
-    """(end, records) of the gzip member, or the plain record, that begins at ``at``."""
+def _member(data: bytes, at: int) -> tuple[int | None, list[tuple[str | None, dict[str, str], bytes]]]:
+    """(end, records) of the gzip member, or the plain record, that begins at ``at``; a record is (fault, fields, block).
+
+    The plain bytes of a member are searched record by record, also those before a zlib error or a cut; the end is
+    None then. As an error shows only after the bytes it spoils, records before one need a digest that holds. A
+    member without a sound record is damaged as a whole."""
     if not data.startswith(GZIP, at):
         end, fields, block = _record(data, at)
-        return end, [(fields, block)]
+        return end, [(None, fields, block)]
     # Fed in pieces: what follows the member is then copied a piece at most, not up to the archive's end.
-    unpack, parts, fed = zlib.decompressobj(31), [], at
+    unpack, parts, fed, reason = zlib.decompressobj(31), [], at, None
+    while not unpack.eof and fed < len(data):
+        piece = data[fed : fed + PIECE]
+        try:
+            before = unpack.copy()
+            parts.append(unpack.decompress(piece))
+        except zlib.error:
+            reason = "gzip member damaged"
+            parts.append(_until_error(before, piece))
+            break
+        fed = min(fed + PIECE, len(data))
+    if not reason and not unpack.eof:
+        reason = "gzip member cut off"
+    plain = b"".join(parts)
+    records = list(_plain_records(plain))
+    if reason == "gzip member damaged":
+        records = [r if r[0] or _has_digest(r[1]) else ("no digest in a damaged member", {}, b"") for r in records]
+    if plain and not any(fault is None for fault, _, _ in records):
+        raise Damaged(reason or records[0][0])
+    if not reason:
+        return fed - len(unpack.unused_data), records
+    if not plain:
+        raise Damaged(reason)
+    # The last inner gap, if any, is what the fault cut; the fault itself is named once.
+    if records[-1][0] is not None:
+        records.pop()
+    return None, [*records, (reason, {}, b"")]
+
+
+def _has_digest(fields: dict[str, str]) -> bool:
+    """Whether ``_record`` has checked a digest."""
+    stated = [fields.get("warc-block-digest", "")]
+    if fields.get("warc-type") != "revisit":
+        stated.append(fields.get("warc-payload-digest", ""))
+    return any(s.lower().startswith("sha1:") for s in stated)
+
+
+def _until_error(unpack, piece: bytes) -> bytes:
+    """What can be unpacked of ``piece`` before its zlib error, fed byte by byte."""
+    parts = []
     try:
-        while not unpack.eof and fed < len(data):
-            parts.append(unpack.decompress(data[fed : fed + PIECE]))
-            fed = min(fed + PIECE, len(data))
-    except zlib.error as error:
-        raise Damaged("gzip member damaged") from error
-    if not unpack.eof:
-        raise Damaged("gzip member cut off")
-    plain, records, inner = b"".join(parts), [], 0
-    while inner < len(plain):
-        inner, fields, block = _record(plain, inner)
-        records.append((fields, block))
-    return fed - len(unpack.unused_data), records
+        for k in range(len(piece)):
+            parts.append(unpack.decompress(piece[k : k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(parts)
+
+
+def _plain_records(plain: bytes) -> Iterator[tuple[str | None, dict[str, str], bytes]]:
+    """(fault, fields, block) of the records of a member's plain bytes; a gap up to the next sound one is one row."""
+    at = 0
+    while at < len(plain):
+        try:
+            end, fields, block = _record(plain, at)
+        except Damaged as fault:
+            yield str(fault), {}, b""
+            at = _next_record(plain, at)
+        else:
+            yield None, fields, block
+            at = end
+
+
+def _next_record(plain: bytes, at: int) -> int:
+    """Where the next sound record after ``at`` begins, or the end."""
+    while found := find_version(plain, at + 1):
+        at = found.start()
+        try:
+            _record(plain, at)
+            return at
+        except Damaged:
+            continue
+    return len(plain)
+
+
+def _next_start(data: bytes, at: int) -> int:
+    """Where the next member or record after ``at`` that can be read begins, or the end."""
+    while found := find_start(data, at + 1):
+        at = found.start()
+        try:
+            _member(data, at)
+            return at
+        except Damaged:
+            continue
+    return len(data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
     """(offset, length, fault, fields, block) of everything in an archive, in order.
 
     ``fault`` is None for a sound record (offset and length are its member's). After a failed check the reader
-    looks for the next place where a whole member or record can be read; the bytes before it are one gap."""
+    looks for the next place where a member or record can be read; the bytes before it are one gap. Within a
+    member it looks for the next sound record in the plain bytes; such a gap has its member's offset and length 0,
+    as its compressed bytes are not told apart."""
     at = 0
     while at < len(data):
         try:
             end, records = _member(data, at)
         except Damaged as fault:
-            end, reason = at, str(fault)
-            while True:
-                found = find_start(data, end + 1)
-                end = found.start() if found else len(data)
-                try:
-                    if found:
-                        _member(data, end)
-                    break
-                except Damaged:
-                    continue
-            yield at, end - at, reason, {}, b""
+            end = _next_start(data, at)
+            yield at, end - at, str(fault), {}, b""
         else:
-            for fields, block in records:
-                yield at, end - at, None, fields, block
+            end = _next_start(data, at) if end is None else end
+            for fault, fields, block in records:
+                yield at, 0 if fault else end - at, fault, fields, block
         at = end
 
 

@@ -195,6 +195,32 @@ def test_salvage(pack):
         assert sum(f[2] is None for f in found) >= min(4, text.count(parts[2]) * 4)
 
 
+def test_salvage_within_a_member():
+    payloads = [base64.b64encode(random.Random(i).randbytes(30_000)) for i in range(5)]
+    records = [sound(p) for p in payloads]
+    kept = lambda data: [payloads.index(f[4]) if f[2] is None else f[2] for f in warc.salvage(data)]
+    # A bad digest, a wrong length and a cut header in the middle of one member.
+    for bad in (records[2].replace(payloads[2][:9], b"x" * 9), records[2].replace(b"Length: 4", b"Length: 3"), records[2][:40]):
+        packed = gzip.compress(b"".join(records[:2]) + bad + b"".join(records[3:]))
+        found = kept(packed)
+        assert [f for f in found if isinstance(f, int)] == [0, 1, 3, 4] and len(found) == 5 and isinstance(found[2], str)
+        assert kept(packed + gzip.compress(records[2]))[-1] == 2
+    whole = gzip.compress(b"".join(records))
+    assert kept(whole) == [0, 1, 2, 3, 4]
+    # Cut off, and a zlib error: what was unpacked before is read, and a sound member after it.
+    assert kept(whole[: len(whole) * 7 // 10]) == [0, 1, 2, "gzip member cut off"]
+    broken = bytearray(whole)
+    broken[len(whole) * 7 // 10 : len(whole) * 7 // 10 + 2000] = b"\xff" * 2000
+    found = kept(bytes(broken) + gzip.compress(records[4]))
+    assert found[:2] == [0, 1] and found[-1] == 4 and any(isinstance(f, str) for f in found)
+    assert sum({(f[0], f[1]): f[1] for f in warc.salvage(bytes(broken) + b"junk")}.values()) == len(broken) + 4
+    # A wrong checksum of the member: records with a digest of their own stay, others are not trusted.
+    bare = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    packed = bytearray(gzip.compress(records[0] + bare + records[1]))
+    packed[-8] ^= 0xFF
+    assert kept(bytes(packed)) == [0, "no digest in a damaged member", 1, "gzip member damaged"]
+
+
 @pytest.mark.parametrize("piece", [1, 7, 1 << 16])
 def test_members_are_fed_in_pieces(monkeypatch, piece):
     monkeypatch.setattr(warc, "PIECE", piece)
