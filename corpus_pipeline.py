@@ -6,21 +6,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geostat_spark.llm.bpe import token_digests
 from geostat_spark.llm.exact_dedup import drop_exact_duplicates
-from geostat_spark.llm.language_id import UNDETERMINED, identify_language
+from geostat_spark.llm.language_id import UNDETERMINED, fit, predict
 from geostat_spark.llm.mixing import mixed_documents
 from geostat_spark.llm.queries import tokenizer_path
 from geostat_spark.llm.simhash import drop_near_duplicates
 from geostat_spark.llm.text import hash_part
 from geostat_spark.session import cut
 
-LEAST_SCORE = 0.5
+UNWANTED: tuple[str, ...] = ()  # languages whose documents go
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is undetermined or predicted with a probability below ``LEAST_SCORE`` go."""
-    held_out = hash_part(F.col("doc_id"), 3) == 1
-    found = identify_language(docs, held_out=held_out)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents without a letter, hence without a language, go, and those predicted in an ``UNWANTED`` one.
+
+    A doubtful prediction rejects nothing. When nothing is labelled all documents stay."""
+    held_out = F.coalesce(hash_part(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = fit(docs, ~held_out)
+    if not model.classes:
+        return docs
+    return predict(docs, model).where(~F.col("lang_pred").isin(UNDETERMINED, *UNWANTED)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

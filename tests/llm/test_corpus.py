@@ -515,5 +515,20 @@ def test_pipeline(spark):
     assert entry.queries()["pipeline"](spark, DATA).count() > 0
 
 
+def test_language_stage_rejects_texts_without_letters_only(spark, monkeypatch):
+    spoken = lambda t: bool(t) and language_id.has_letter(t)
+    # Few words around numbers, in texts of many languages, are doubtful; they have a language all the same.
+    rows = [(i, prose(i, 1 + i % 3), f"l{i % 9}") for i in range(90)] + [(100 + i, t, "l1") for i, t in enumerate((None, "", " ", "1 2", "½ _", "1a"))]
+    rows += [(None, "words", None), (None, "12", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    assert collections.Counter(map(tuple, kept.collect())) == collections.Counter(r for r in rows if spoken(r[1]))
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, unlabelled, DATA).count() == len(rows)
+    monkeypatch.setattr(corpus_pipeline, "UNWANTED", tuple(f"l{k}" for k in range(9)))
+    assert corpus_pipeline.language(spark, docs, DATA).count() == 0
+
+
 def test_bench_names_are_registered():
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
