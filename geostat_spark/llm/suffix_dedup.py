@@ -1,4 +1,4 @@
-"""Repeated passages by a logarithmic family of sorted suffix tables."""
+"""Repeated passages by a hash index of anchor grams, in place of suffix arrays."""
 
 from __future__ import annotations
 
@@ -116,9 +116,9 @@ def zone_table(rows: DataFrame, length: int, gram: int, batches: int) -> DataFra
 
 
 class SuffixFamily:
-    """Sorted tables of anchored suffixes, each of a power of two of batches; no two of equal size stay.
+    """Counts of the anchor grams' hashes, in tables of a power of two of batches each; no two of equal size stay.
 
-    A new batch's table is merge-scanned against every level for keys in common, which are candidates for a long
+    They hold no suffixes. A new batch's table is joined with every level for keys in common, which are candidates for a long
     match on both sides; then equal-sized levels are merged until all sizes differ."""
 
     def __init__(self) -> None:
