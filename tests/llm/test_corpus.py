@@ -473,11 +473,13 @@ def test_sql(spark, tmp_path, name, where):
         spark.createDataFrame(rows, SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
         pages = [(r[0], None, r[1]) for r in rows]
         spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+        turns = [(r[0] % 5, k, r[3], r[1]) for k, r in enumerate(rows)]
+        spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
         files = "/*.parquet"
     else:
         files = ""
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{where}/{t}.parquet{files}')")
     got = queries.QUERIES[name](spark, where)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
