@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geostat_spark.operators import clean, features, temporal
@@ -263,4 +265,5 @@ def sql(body: str, *names: str) -> str:
     if not order:
         return body
     head = ",\n".join(f"{n} AS ({_CTES[n][0]})" for n in order)
-    return f"WITH {head}\n{body}"
+    again = any(re.search(rf"\b{n}\b", _CTES[n][0]) for n in order)
+    return f"WITH {'RECURSIVE ' * again}{head}\n{body}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from geostat_spark.catalog.inputs import define, points, raw_sites, sites, sql, table
 from geostat_spark.catalog.registry import query
 from geostat_spark.catalog.tabular import r
+from geostat_spark.functions.permutation import FIRST, PRIME, ROUNDS, SECOND
 from geostat_spark.operators import clean, hypothesis, inequality, kernel, neighbors, ordering, spatial, splits
 
 # ---- inequality
@@ -306,9 +307,65 @@ def _(spark, d):
     return r(r(r(out, 7, "moran_i"), 9, "expected_i", "variance"), 5, "z_score")
 
 
-@query("morans_i_permutation")
+def _mix(source: str, x: str, key: str, out: str) -> str:
+    """The table with 31 mixed bits of ``x`` under ``key`` as a column ``out``."""
+    first = f"SELECT *, ({x} + {key}) % {PRIME} * {FIRST} % {PRIME} AS f_ FROM {source}"
+    second = f"SELECT *, (xor(f_, f_ >> 16) * {SECOND} + {key}) % {PRIME} AS s_ FROM ({first})"
+    return f"(SELECT * EXCLUDE (f_, s_), xor(s_, s_ >> 13) AS {out} FROM ({second}))"
+
+
+def _keys(turns: str, seed: int = 42, permutations: int = 999) -> str:
+    numbers = f"(SELECT p, turn FROM (SELECT unnest(range({permutations})) AS p), (SELECT unnest({turns}) AS turn))"
+    return _mix(_mix(numbers, "(p + 1)", str(seed + 1), "h_"), "h_", "(turn + 1)", "key")
+
+
+def _permuted_sql(name: str, rows: str, needs: str) -> str:
+    """Adds ``name`` (g, p, x, z): the value z that permutation p puts at place x. rows: table (g, n, i, z)."""
+    step = f"(SELECT *, x // b AS l, x % b AS r FROM {name}_walk WHERE NOT done)"
+    for turn in range(ROUNDS):
+        moved, other, side = ("l", "r", "a") if turn % 2 == 0 else ("r", "l", "b")
+        step = f"(SELECT * EXCLUDE (h_) REPLACE (({moved} + h_) % {side} AS {moved}) FROM {_mix(step, other, f'ks[{turn + 1}]', 'h_')})"
+    sides = f"SELECT *, (n + a - 1) // a AS b FROM (SELECT *, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM {rows})"
+    define(
+        f"{name}_walk",
+        f"""SELECT g, n, a, b, i, z, p, ks, i AS x, false AS done FROM ({sides}),
+ (SELECT p, list(key ORDER BY turn) AS ks FROM {_keys(f'range({ROUNDS})')} GROUP BY p)
+ UNION ALL SELECT g, n, a, b, i, z, p, ks, l * b + r AS x, l * b + r < n AS done FROM {step}""",
+        needs,
+    )
+    return define(name, f"SELECT g, p, x, z FROM {name}_walk WHERE done", f"{name}_walk")
+
+
+define("numbered", """SELECT 0 AS g, count(*) OVER () AS n, id, z, row_number() OVER (ORDER BY substr(md5(CAST(id AS VARCHAR) || ':42'), 1, 14), id) - 1 AS i FROM zed""", "zed")
+_permuted_sql("permuted", "numbered", "numbered")
+
+
+def _tests_sql(ks: str, permuted: str, rows: str, near: str, group: str) -> str:
+    """(k, group, n, moran_i, p_value, z_score) by a plain join of every permuted value to its neighbours'."""
+    return f"""SELECT k, {group}, max(n) AS n, max(i) AS moran_i, (least(count(*) FILTER (WHERE ip >= i), count(*) FILTER (WHERE ip < i)) + 1) / 1000e0 AS p_value,
+ (max(i) - avg(ip)) / stddev_pop(ip) AS z_score
+FROM (SELECT k, l.g, l.p, sum(v.z * lag) AS cross_ FROM
+  (SELECT k, d.g, p, s.i AS x, avg(v.z) AS lag FROM (VALUES {ks}) kk(k) JOIN {near} e ON e.rank <= k JOIN {rows} s ON s.id = e.src JOIN {rows} d ON d.id = e.dst
+   JOIN {permuted} v ON v.g = d.g AND v.x = d.i GROUP BY ALL) l JOIN {permuted} v ON v.g = l.g AND v.p = l.p AND v.x = l.x GROUP BY ALL) c
+JOIN (SELECT k, g, {group} AS grp, sum(z * lag) / sum(z * z) AS i, sum(z * z) AS zz, count(*) AS n FROM
+  (SELECT k, s.g, s.id, max(s.{group}) AS {group}, max(s.z) AS z, avg(d.z) AS lag FROM (VALUES {ks}) kk(k) JOIN {near} e ON e.rank <= k JOIN {rows} s ON s.id = e.src JOIN {rows} d ON d.id = e.dst GROUP BY ALL)
+  GROUP BY ALL) o USING (k, g), LATERAL (SELECT cross_ / zz AS ip, grp AS {group}) GROUP BY k, {group}"""
+
+
+define("moran_tests", _tests_sql("(8)", "permuted", "(SELECT *, g AS grp_ FROM numbered)", "knn20", "grp_"), "permuted", "knn20")
+define("moran_tests_by_k", _tests_sql("(4), (8), (12), (16), (20)", "permuted", "(SELECT *, g AS grp_ FROM numbered)", "knn20", "grp_"), "permuted", "knn20")
+
+
+@query("morans_i_permutation", sql("SELECT round(moran_i, 7) AS moran_i, p_value, round(z_score, 6) AS z_score FROM moran_tests", "moran_tests"))
+def _(spark, d):
+    return r(r(spatial.morans_i_permutation(points(spark, d), "value"), 7, "moran_i"), 6, "z_score")
+
+
+@query("site_morans_i_permutation")
 def _(spark, d):
-    return spatial.morans_i_permutation(points(spark, d), "value")
+    """All sites, 999 permutations."""
+    rows = sites(spark, d).withColumnRenamed("site_id", "id").select("id", "longitude", "latitude", "capacity_factor")
+    return spatial.morans_i_permutation(rows, "capacity_factor", 8, ("longitude", "latitude"))
 
 
 @query("moran_scatter", sql("SELECT id, round(z / s, 7) + 0e0 AS z, round(lag / s, 7) + 0e0 AS lag FROM lags, (SELECT stddev_pop(value) AS s FROM points)", "lags"))
@@ -328,14 +385,24 @@ def _(spark, d):
     return r(r(spatial.local_moran(points(spark, d), "value"), 7, "z", "lag"), 6, "local_i")
 
 
-@query("local_moran_significance")
+define("floyd", f"""SELECT p, 0 AS step, n, []::BIGINT[] AS d FROM (SELECT unnest(range(999)) AS p), (SELECT count(*) AS n FROM points)
+ UNION ALL SELECT f.p, step + 1, n, list_append(d, CASE WHEN list_contains(d, h_ % (j + 1)) THEN j ELSE h_ % (j + 1) END)
+ FROM {_mix(f"(SELECT f.*, n - 1 - 8 + step AS j, key FROM floyd f JOIN {_keys('[77]')} k ON k.p = f.p WHERE step < 8)", "j", "key", "h_")} f""", "points")
+define("local_tests", """SELECT s.id, max(li) AS local_i, max(lc) AS lisa_cluster, (least(count(*) FILTER (WHERE s.z * lag_p >= s.z * s.lag), count(*) FILTER (WHERE s.z * lag_p < s.z * s.lag)) + 1) / 1000e0 AS lisa_pvalue
+FROM (SELECT *, (count(*) OVER () - 1) * z * lag / sum(z * z) OVER () AS li, CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS lc FROM lags) s
+JOIN (SELECT o.id, p, avg(v.z) AS lag_p FROM numbered o CROSS JOIN (SELECT p, unnest(d) AS pos FROM floyd WHERE step = 8) f JOIN numbered v ON v.i = CASE WHEN pos < o.i THEN pos ELSE pos + 1 END GROUP BY ALL) l ON l.id = s.id GROUP BY s.id""",
+    "lags", "numbered", "floyd")
+
+
+@query("local_moran_significance", sql("""SELECT id, round(local_i, 6) + 0e0 AS local_i, lisa_cluster, lisa_pvalue, CAST(lisa_pvalue < 0.05e0 AS INTEGER) AS lisa_significant FROM local_tests""", "local_tests"))
 def _(spark, d):
-    return spatial.local_moran_significance(points(spark, d), "value")
+    return r(spatial.local_moran_significance(points(spark, d), "value"), 6, "local_i")
 
 
-@query("significance_breakdown")
+@query("significance_breakdown", sql("""SELECT lisa_cluster, count(*) AS sites, CAST(sum(CAST(lisa_pvalue < 0.05e0 AS BIGINT)) AS BIGINT) AS significant,
+ round(100e0 * sum(CAST(lisa_pvalue < 0.05e0 AS BIGINT)) / (SELECT count(*) FROM local_tests), 7) AS significant_pct FROM local_tests GROUP BY 1""", "local_tests"))
 def _(spark, d):
-    return spatial.significance_breakdown(spatial.local_moran_significance(points(spark, d), "value"))
+    return r(spatial.significance_breakdown(spatial.local_moran_significance(points(spark, d), "value")), 7)
 
 
 define("cat_z", "SELECT id, category, value - avg(value) OVER (PARTITION BY category) AS z FROM points", "points")
@@ -343,24 +410,29 @@ define("cat_knn", """SELECT src, dst, cat FROM dists WHERE src <> dst AND cat =
  QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 8""", "dists")
 
 
-@query("morans_i_by_category", sql("""SELECT cat AS category, round(sum(z * lag) / sum(z * z), 7) + 0e0 AS moran_i, count(*) AS n FROM
- (SELECT src, max(cat) AS cat, max(s.z) AS z, avg(d.z) AS lag FROM cat_knn JOIN cat_z s ON src = s.id JOIN cat_z d ON dst = d.id GROUP BY src)
-WHERE cat IN (SELECT category FROM points GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6) GROUP BY 1 HAVING count(*) > 50""", "cat_z", "cat_knn"))
+define("top_category", """SELECT category, row_number() OVER (ORDER BY category) - 1 AS g FROM (SELECT category FROM points GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6)""", "points")
+define("cat_numbered", """SELECT g, count(*) OVER (PARTITION BY g) AS n, id, z, category,
+ row_number() OVER (PARTITION BY g ORDER BY substr(md5(CAST(id AS VARCHAR) || ':42'), 1, 14), id) - 1 AS i FROM cat_z JOIN top_category USING (category)""", "cat_z", "top_category")
+define("cat_near", "SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rank FROM cat_knn", "cat_knn")
+_permuted_sql("cat_permuted", "cat_numbered", "cat_numbered")
+define("moran_tests_by_category", _tests_sql("(8)", "cat_permuted", "cat_numbered", "cat_near", "category"), "cat_permuted", "cat_near")
+
+
+@query("morans_i_by_category", sql("""SELECT category, round(moran_i, 7) + 0e0 AS moran_i, n, p_value, round(z_score, 6) + 0e0 AS z_score FROM moran_tests_by_category WHERE n > 50""", "moran_tests_by_category"))
 def _(spark, d):
-    return r(spatial.morans_i_by_category(points(spark, d), "value", "category"), 7)
+    return r(r(spatial.morans_i_by_category(points(spark, d), "value", "category"), 7, "moran_i"), 6, "z_score")
 
 
-@query("morans_i_by_k", sql("""SELECT CAST(k AS INTEGER) AS k, round(sum(z * lag) / sum(z * z), 7) + 0e0 AS moran_i FROM
- (SELECT k, src, max(s.z) AS z, avg(d.z) AS lag FROM (VALUES (4), (8), (12), (16), (20)) v(k) JOIN knn20 ON rank <= k
-  JOIN zed s ON src = s.id JOIN zed d ON dst = d.id GROUP BY k, src) GROUP BY 1""", "knn20", "zed"))
+@query("morans_i_by_k", sql("""SELECT CAST(k AS INTEGER) AS k, round(moran_i, 7) + 0e0 AS moran_i, p_value, round(z_score, 6) + 0e0 AS z_score FROM moran_tests_by_k""", "moran_tests_by_k"))
 def _(spark, d):
-    sample = clean.sample_rows(points(spark, d), "id", 5000)
-    return r(spatial.morans_i_by_k(sample, "value"), 7)
+    return r(r(spatial.morans_i_by_k(points(spark, d), "value"), 7, "moran_i"), 6, "z_score")
 
 
-@query("autocorrelation_label")
+@query("autocorrelation_label", sql("""SELECT round(moran_i, 7) AS moran_i, p_value, round(z_score, 6) AS z_score, CASE WHEN p_value >= 0.05e0 THEN 'no significant spatial autocorrelation'
+ WHEN moran_i > 0 THEN 'significant positive spatial autocorrelation' ELSE 'significant negative spatial autocorrelation' END AS interpretation FROM moran_tests""", "moran_tests"))
 def _(spark, d):
     from geostat_spark.functions.scalar import autocorrelation_label
 
-    out = spatial.morans_i_permutation(points(spark, d), "value", permutations=199)
-    return out.withColumn("interpretation", autocorrelation_label(F.col("p_value"), F.col("moran_i")))
+    out = spatial.morans_i_permutation(points(spark, d), "value")
+    out = out.withColumn("interpretation", autocorrelation_label(F.col("p_value"), F.col("moran_i")))
+    return r(r(out, 7, "moran_i"), 6, "z_score")

@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from geostat_spark.functions.permutation import drawn, permuted
 from geostat_spark.functions.scalar import ratio
 from geostat_spark.operators.attach import attach
 from geostat_spark.operators.clean import keep_top_categories
 from geostat_spark.operators.components import component_count
+from geostat_spark.operators.grid import grid_over
 from geostat_spark.operators.hypothesis import normal_p
 from geostat_spark.operators.neighbors import edges, knn, neighbours
 from geostat_spark.operators.ordering import hash_position, with_row_number
 from geostat_spark.session import cut
 
-# Above this many rows the permuted values no longer travel to every task as one array (8 bytes a row).
-SHIPPED_ROWS = 4_000_000
-
 
 def knn_weights(points: DataFrame, k: int = 8, dims: Sequence[str] = ("x", "y")) -> DataFrame:
     """Edges (src, dst, w) whose weights sum to 1 per source."""
@@ -95,84 +94,150 @@ def morans_i_normal(points: DataFrame, value: str, k: int = 8, dims: Sequence[st
     )
 
 
-def _shuffled(index: np.ndarray, n: int, seed: int, number: np.ndarray | int) -> np.ndarray:
-    """Image of ``index`` (0..n-1) under pseudo-random permutation ``number``: a keyed balanced network on
-    the smallest even-bit domain, walked until it lands below n. Computable for any index alone."""
-    half = max(1, (max(1, (n - 1).bit_length()) + 1) // 2)
-    mask = np.uint64((1 << half) - 1)
-
-    def mix(v: np.ndarray) -> np.ndarray:
-        v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return v ^ (v >> np.uint64(31))
-
-    out = index.astype(np.uint64)
-    todo = np.arange(len(out))
-    with np.errstate(over="ignore"):
-        key = mix(np.array([seed], dtype=np.uint64)) + np.asarray(number, dtype=np.uint64) * np.uint64(
-            0xD1B54A32D192ED03
+def _numbered(
+    points: DataFrame, value: str, k: int, dims: Sequence[str], seed: int, by: str | None = None
+) -> tuple[DataFrame, dict[int, tuple[object, int]]]:
+    """(found, groups): neighbours with z, the number ``g`` of the row's group and a dense 0-based ``idx`` in a seeded
+    order within it, written out; groups: {g: (name, rows)}, one for each value of ``by``."""
+    rows = centred(points.na.drop(subset=list(dims)), value, [by] if by else ()).drop("g", "idx")
+    if by:
+        rows = rows.where(F.col(by).isNotNull())
+        counted = [(r[0], r[1]) for r in rows.groupBy(by).count().orderBy(by).collect()]
+        names = points.sparkSession.createDataFrame(
+            [(v, g, sum(n for _, n in counted[:g])) for g, (v, _) in enumerate(counted)], f"{by} {dict(rows.dtypes)[by]}, g int, _before long"
         )
-        key = np.broadcast_to(key, index.shape)
-        while len(todo):
-            left, right = out[todo] >> np.uint64(half), out[todo] & mask
-            for turn in range(6):
-                turned = mix(key[todo] + right * np.uint64(0x2545F4914F6CDD1D) + np.uint64(turn + 1)) & mask
-                left, right = right, left ^ turned
-            out[todo] = (left << np.uint64(half)) | right
-            todo = todo[out[todo] >= np.uint64(n)]
-    return out.astype(np.int64)
-
-
-def _indexed_neighbours(points: DataFrame, value: str, k: int, dims: Sequence[str], seed: int) -> DataFrame:
-    """neighbours with z and a dense 0-based index in a seeded random order, written out."""
-    rows = with_row_number(centred(points, value), hash_position("id", seed), "id", "_row")
-    rows = rows.withColumn("idx", F.col("_row") - 1)
-    return cut(neighbours(rows, k, dims, carry=["z", "idx"]))
-
-
-def _permuted_by_array(found: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
-    """(perm, i): the shuffled values are looked up in one shipped array; each task sums its own rows."""
-    values = np.zeros(n)
-    for r in found.select("idx", "z").toLocalIterator():
-        values[r["idx"]] = r["z"]
-    shipped = found.sparkSession.sparkContext.broadcast(values)
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = shipped.value
-        total = np.zeros(permutations)
-        for pdf in batches:
-            sizes = pdf["others"].map(len).to_numpy()
-            here = pdf["idx"].to_numpy()
-            there = np.concatenate(pdf["others"].to_numpy()).astype(np.int64) if len(pdf) else np.zeros(0, np.int64)
-            owner = np.repeat(np.arange(len(pdf)), sizes)
-            for p in range(permutations):
-                mine = z[_shuffled(here, n, seed, p)]
-                lag = np.bincount(owner, weights=z[_shuffled(there, n, seed, p)], minlength=len(pdf)) / sizes
-                total[p] += mine @ lag
-        yield pd.DataFrame({"perm": np.arange(permutations), "part": total})
-
-    others = F.transform("near", lambda e: e["idx"])
-    parts = found.select("idx", others.alias("others")).mapInPandas(sums, "perm long, part double")
-    return parts.groupBy("perm").agg(F.sum("part").alias("cross"))
-
-
-def _permuted_by_join(found: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
-    """The same sums with the shuffled values fetched by joins, for tables too large to ship."""
-
-    @F.pandas_udf("long")
-    def image(idx: pd.Series, perm: pd.Series) -> pd.Series:
-        return pd.Series(_shuffled(idx.to_numpy(), n, seed, perm.to_numpy()))
-
-    numbered = found.select("idx", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
-    values = found.select(F.col("idx").alias("from"), F.col("z").alias("zp"))
-    placed = numbered.withColumn("from", image("idx", "perm")).join(values, "from").select("perm", "idx", "zp")
-    links = found.select("idx", F.size("near").alias("k"), F.explode("near").alias("e")).select(
-        F.col("idx").alias("home"), "k", F.col("e.idx").alias("idx")
+        rows = rows.join(F.broadcast(names), by)  # a row a group, and the caller names the groups
+    else:
+        counted = [(None, rows.count())]
+        rows = rows.withColumns({"g": F.lit(0), "_before": F.lit(0).cast("long")})
+    order = F.shiftleft(F.col("g").cast("long"), 56) + F.shiftright(hash_position("id", seed), 4)
+    rows = with_row_number(rows, order, "id", "_row").withColumn("idx", F.col("_row") - 1 - F.col("_before"))
+    return cut(neighbours(rows, k, dims, carry=["z", "idx"], by=["g"])), dict(enumerate(counted))
+
+
+def _permuted_values(found: DataFrame, groups: dict, permutations: int, seed: int, width: int = 1_024) -> DataFrame:
+    """(g, idx, values): the values that the permutations put at each place, in an array by permutation.
+
+    Permutation p sends the value of row i to the p-th keyed image of i, which is computed for i alone. Values travel
+    once, packed by block of ``width`` places, and each block is put together in a task of its own."""
+    sizes = {g: n for g, (_, n) in groups.items()}
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(permutations, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                group, idx, z = (part.column(c).to_numpy(zero_copy_only=False) for c in ("g", "idx", "z"))
+                for g in np.unique(group):
+                    own = group == g
+                    rows = int(own.sum())
+                    to = permuted(np.repeat(idx[own], permutations), sizes[int(g)], seed, np.tile(number, rows))
+                    order = np.argsort(to // width, kind="stable")
+                    to, what, which = to[order], np.repeat(z[own], permutations)[order], np.tile(number, rows)[order]
+                    edge = np.concatenate(([0], np.flatnonzero(np.diff(to // width)) + 1, [len(to)]))
+                    cells = (to % width * permutations + which).astype(np.int64)
+                    spans = list(zip(edge[:-1], edge[1:]))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([int(g)] * len(spans), pa.int32()),
+                            pa.array([int(to[a]) // width for a, _ in spans], pa.int64()),
+                            pa.array([cells[a:b].tobytes() for a, b in spans], pa.binary()),
+                            pa.array([what[a:b].tobytes() for a, b in spans], pa.binary()),
+                        ],
+                        names=["g", "block", "cells", "sent"],
+                    )
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, grid = None, None
+
+        def answer() -> pa.RecordBatch:
+            n = min(width, sizes[key[0]] - key[1] * width)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, key[0], np.int32)),
+                    pa.array(key[1] * width + np.arange(n, dtype=np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * permutations, permutations, dtype=np.int32)), pa.array(grid[: n * permutations])),
+                ],
+                names=["g", "idx", "values"],
+            )
+
+        for batch in batches:
+            for g, block, cells, sent in zip(*[batch.column(c).to_pylist() for c in ("g", "block", "cells", "sent")]):
+                if key != (g, block):
+                    if key is not None:
+                        yield answer()
+                    key, grid = (g, block), np.full(width * permutations, np.nan)
+                grid[np.frombuffer(cells, np.int64)] = np.frombuffer(sent, np.float64)
+        if key is not None:
+            yield answer()
+
+    packed = found.select("g", "idx", "z").mapInArrow(send, "g int, block long, cells binary, sent binary")
+    sorted_ = packed.repartition("g", "block").sortWithinPartitions("g", "block")
+    return sorted_.mapInArrow(receive, "g int, idx long, values array<double>")
+
+
+def _permuted_cross(
+    found: DataFrame, groups: dict, dims: Sequence[str], ks: Sequence[int], permutations: int, seed: int, area: int = 256
+) -> DataFrame:
+    """(g, k, perm, cross): the sum of value times mean of the k nearest values, for each permutation of the values.
+
+    Sites are dealt to areas of ``area`` neighbouring sites; an area fetches the arrays of its sites and of their
+    neighbours once each and sums them as matrices. No site's array goes to more areas than it has neighbours in."""
+    grid = grid_over(found, dims)
+    code = F.shiftleft(F.shiftright(grid.code(), 12), 12) + F.pmod(F.xxhash64("id"), F.lit(4_096))  # copies are spread
+    others = F.transform("near", lambda e: e["idx"]).alias("others")
+    placed = with_row_number(found.select("id", "g", "idx", others, *dims), code, "id", "_place")
+    placed = cut(placed.select("g", "idx", "others", F.expr(f"(_place - 1) div {area}").alias("area")))
+    wanted = placed.select("g", "area", F.explode(F.concat(F.array("idx"), "others")).alias("idx")).distinct()
+    fetched = _permuted_values(found, groups, permutations, seed).join(wanted, ["g", "idx"])
+    fetched = fetched.select(F.col("g").alias("_g"), F.col("area").alias("_area"), "idx", "values")
+    ks = [int(k) for k in ks]
+
+    def sums(key: tuple, sites: pa.Table, values: pa.Table) -> pa.Table:
+        held = values.column("idx").to_numpy()
+        order = np.argsort(held)
+        matrix = values.column("values").combine_chunks().flatten().to_numpy().reshape(len(held), permutations)
+        find = lambda idx: order[np.searchsorted(held, idx, sorter=order)]
+        total = np.zeros((len(ks), permutations))
+        for idx, near in zip(sites.column("idx").to_pylist(), sites.column("others").to_pylist()):
+            if near:
+                upto = np.cumsum(matrix[find(np.array(near))], axis=0)
+                own = matrix[find(np.array([idx]))[0]]
+                for row, k in enumerate(ks):
+                    m = min(k, len(near))
+                    total[row] += own * upto[m - 1] / m
+        g = pa.array(np.full(total.size, key[0].as_py(), np.int32))
+        perm = pa.array(np.tile(np.arange(permutations, dtype=np.int32), len(ks)))
+        return pa.table([g, pa.array(np.repeat(np.array(ks, np.int32), permutations)), perm, pa.array(total.ravel())], names=["g", "k", "perm", "part"])
+
+    parts = placed.groupBy("g", "area").cogroup(fetched.groupBy("_g", "_area")).applyInArrow(sums, "g int, k int, perm int, part double")
+    return parts.groupBy("g", "k", "perm").agg(F.sum("part").alias("cross"))
+
+
+def _permutation_tests(
+    points: DataFrame, value: str, ks: Sequence[int], dims: Sequence[str], permutations: int, seed: int, by: str | None = None
+) -> DataFrame:
+    """([by,] k, n, moran_i, p_value, z_score) for each group and neighbourhood size."""
+    found, groups = _numbered(points, value, max(ks), dims, seed, by)
+    sizes = F.explode(F.array(*[F.lit(int(v)) for v in ks]))
+    lags = found.withColumn("k", sizes).select("g", "k", "z", lag_of(F.slice("near", F.lit(1), F.col("k"))).alias("lag"))
+    observed = lags.groupBy("g", "k").agg(
+        _moran().alias("moran_i"), F.sum(F.col("z") * F.col("z")).alias("zz"), F.count(F.lit(1)).alias("n")
     )
-    lags = links.join(placed, "idx").groupBy("perm", F.col("home").alias("idx")).agg(
-        (F.sum("zp") / F.max("k")).alias("lag")
+    observed = cut(observed)
+    sims = _permuted_cross(found, groups, dims, ks, permutations, seed).join(F.broadcast(observed), ["g", "k"])  # groups x sizes rows
+    i = ratio(F.col("cross"), F.col("zz"))
+    larger = F.count_if(i >= F.col("moran_i"))
+    tested = sims.groupBy("g", "k").agg(
+        F.when(F.count(i) == permutations, (F.least(larger, F.lit(permutations) - larger) + 1) / F.lit(permutations + 1.0)).alias("p_value"),
+        ratio(F.first("moran_i") - F.avg(i), F.stddev_pop(i)).alias("z_score"),
     )
-    return lags.join(placed, ["perm", "idx"]).groupBy("perm").agg(F.sum(F.col("zp") * F.col("lag")).alias("cross"))
+    out = observed.join(tested, ["g", "k"], "left")
+    if by:
+        kind = dict(points.dtypes)[by]
+        names = points.sparkSession.createDataFrame([(g, name) for g, (name, _) in groups.items()], f"g int, {by} {kind}")
+        out = out.join(F.broadcast(names), "g")
+    return out.select(*([by] if by else []), "k", "n", "moran_i", "p_value", "z_score")
 
 
 def morans_i_permutation(
@@ -182,21 +247,10 @@ def morans_i_permutation(
     dims: Sequence[str] = ("x", "y"),
     permutations: int = 999,
     seed: int = 42,
-    shipped_rows: int = SHIPPED_ROWS,
 ) -> DataFrame:
-    """I with its pseudo p (1 + the smaller tail) / (permutations + 1) and z against the permutations."""
-    found = _indexed_neighbours(points, value, k, dims, seed)
-    observed = found.select("z", lag_of(F.col("near")).alias("lag"))
-    n, sum_zz, i = observed.agg(F.count(F.lit(1)), F.sum(F.col("z") * F.col("z")), _moran()).first()
-    shuffle = _permuted_by_array if n <= shipped_rows else _permuted_by_join
-    sims = shuffle(found, n, permutations, seed).select((F.col("cross") / F.lit(float(sum_zz))).alias("i"))
-    larger = F.count_if(F.col("i") >= F.lit(float(i)))
-    tail = F.least(larger, F.lit(permutations) - larger)
-    return sims.agg(
-        F.lit(float(i)).alias("moran_i"),
-        ((tail + 1) / F.lit(permutations + 1.0)).alias("p_value"),
-        ratio(F.lit(float(i)) - F.avg("i"), F.stddev_pop("i")).alias("z_score"),
-    )
+    """I with its pseudo p (1 + the smaller tail) / (permutations + 1) and z against the permutations; both NULL
+    where all values are equal."""
+    return _permutation_tests(points, value, [k], dims, permutations, seed).select("moran_i", "p_value", "z_score")
 
 
 def moran_scatter(points: DataFrame, value: str, k: int = 8, dims: Sequence[str] = ("x", "y")) -> DataFrame:
@@ -234,14 +288,13 @@ def local_moran_significance(
     alpha: float = 0.05,
 ) -> DataFrame:
     """Local I, quadrant and conditional-permutation p: a site keeps its value while its neighbours are
-    drawn from all other sites. The draws are shared by all sites, as positions among the others, so the
-    only thing shipped to the tasks is permutations * k values, whatever the table's size."""
-    found = _indexed_neighbours(points, value, k, dims, seed)
+    drawn from all other sites, without replacement, by keyed hashes. The draws are shared by all sites, as
+    positions among the others, so the only thing shipped to the tasks is 2 * permutations * k values, whatever
+    the table's size."""
+    found, _ = _numbered(points, value, k, dims, seed)
     rows = found.select("id", "idx", "z", F.size("near").alias("k"), lag_of(F.col("near")).alias("lag"))
     n, sum_zz = rows.agg(F.count(F.lit(1)), F.sum(F.col("z") * F.col("z"))).first()
-    width = min(k, n - 1)
-    rng = random.Random(seed)
-    draws = np.array([rng.sample(range(n - 1), width) for _ in range(permutations)])
+    draws = drawn(n - 1, min(k, n - 1), seed, permutations)
     wanted = np.unique(np.concatenate([draws.ravel(), draws.ravel() + 1]))
     spark = points.sparkSession
     keys = spark.createDataFrame(pd.DataFrame({"idx": wanted}))
@@ -293,23 +346,24 @@ def morans_i_by_category(
     more_than: int = 50,
     k: int = 8,
     dims: Sequence[str] = ("x", "y"),
+    permutations: int = 999,
+    seed: int = 42,
 ) -> DataFrame:
-    """I inside each of the most frequent categories with more than ``more_than`` rows, neighbours taken
-    within the category; all categories in the same jobs."""
+    """I, permutation p and z inside each of the most frequent categories with more than ``more_than`` rows,
+    neighbours and permutations taken within the category; all categories in the same jobs."""
     rows = keep_top_categories(points, category, top)
-    lags = spatial_lag(rows, value, k, dims, by=[category])
-    return (
-        lags.groupBy(category)
-        .agg(_moran().alias("moran_i"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > more_than)
-    )
+    tests = _permutation_tests(rows, value, [k], dims, permutations, seed, category)
+    return tests.where(F.col("n") > more_than).select(category, "moran_i", "n", "p_value", "z_score")
 
 
 def morans_i_by_k(
-    points: DataFrame, value: str, ks: Sequence[int] = (4, 8, 12, 16, 20), dims: Sequence[str] = ("x", "y")
+    points: DataFrame,
+    value: str,
+    ks: Sequence[int] = (4, 8, 12, 16, 20),
+    dims: Sequence[str] = ("x", "y"),
+    permutations: int = 999,
+    seed: int = 42,
 ) -> DataFrame:
-    """I for several neighbourhood sizes from one search at the largest."""
-    found = neighbours(centred(points, value), max(ks), dims, carry=["z"])
-    each = found.withColumn("k", F.explode(F.array(*[F.lit(int(v)) for v in ks])))
-    lags = each.select("k", "z", lag_of(F.slice("near", F.lit(1), F.col("k"))).alias("lag"))
-    return lags.groupBy("k").agg(_moran().alias("moran_i"))
+    """I, permutation p and z for several neighbourhood sizes, from one search at the largest and one set of
+    permuted values."""
+    return _permutation_tests(points, value, ks, dims, permutations, seed).select("k", "moran_i", "p_value", "z_score")

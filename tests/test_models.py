@@ -1,5 +1,6 @@
 """Solvers, Shapley values, resampling and permutation inference against direct computations."""
 
+import hashlib
 import itertools
 import math
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from geostat_spark.functions import permutation
 from geostat_spark.operators import ensemble, evaluation, models, resampling, shap, spatial
 from geostat_spark.sources import models as stored, tables
 
@@ -181,22 +183,56 @@ def test_moran_signs(spark):
 
 def test_permutations_are_permutations():
     for n in (1, 2, 5, 64, 100, 1000):
-        out = spatial._shuffled(np.arange(n), n, 42, 3)
+        out = permutation.permuted(np.arange(n), n, 42, 3)
         assert sorted(out) == list(range(n))
-    a, b = (spatial._shuffled(np.arange(1000), 1000, 42, p) for p in (0, 1))
+    a, b = (permutation.permuted(np.arange(1000), 1000, 42, p) for p in (0, 1))
     assert (a == b).mean() < 0.02 and abs(np.corrcoef(a, b)[0, 1]) < 0.1
 
 
-def test_permutation_inference_both_ways(spark):
+def test_draws_are_sets_without_favourites():
+    draws = permutation.drawn(10, 3, 42, 12_000)
+    assert all(len(set(d)) == 3 for d in draws.tolist())
+    seen = np.unique(np.sort(draws, axis=1), axis=0, return_counts=True)[1]
+    assert len(seen) == 120 and seen.min() > 50 and seen.max() < 160
+
+
+def direct_tests(xy, v, ks, permutations):
+    n, z = len(v), v - v.mean()
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
+    near = np.array([[j for j in np.lexsort((np.arange(n), d[i])) if j != i] for i in range(n)])
+    order = sorted(range(n), key=lambda i: (hashlib.md5(f"{i}:42".encode()).hexdigest()[:14], i))
+    out = {}
+    for k in ks:
+        moran = lambda w: (w * w[near[:, :k]].mean(axis=1)).sum() / (z * z).sum()
+        sims = []
+        for p in range(permutations):
+            w = np.empty(n)
+            w[[order[to] for to in permutation.permuted(np.arange(n), n, 42, p)]] = z[order]
+            sims.append(moran(w))
+        larger = (np.array(sims) >= moran(z)).sum()
+        out[k] = (moran(z), (min(larger, permutations - larger) + 1) / (permutations + 1), (moran(z) - np.mean(sims)) / np.std(sims))
+    return out
+
+
+def test_permutation_tests_equal_direct_ones(spark):
     n = 80
-    xy = rng.random((n, 2))
-    pdf = pd.DataFrame({"id": np.arange(n), "x": xy[:, 0], "y": xy[:, 1], "value": xy[:, 0] + 0.3 * rng.random(n)})
+    xy = np.vstack([rng.random((n - 6, 2)), np.repeat([[0.5, 0.5]], 6, axis=0)])
+    v = xy[:, 0] + 0.3 * rng.random(n)
+    pdf = pd.DataFrame({"id": np.arange(n), "x": xy[:, 0], "y": xy[:, 1], "value": v, "kind": "a"})
+    more = pdf.assign(id=pdf["id"] + 1000, x=pdf["x"] + 0.01, kind="b", value=rng.random(n))
+    want = direct_tests(xy, v, (4, 6), 99)
     df = spark.createDataFrame(pdf)
-    shipped = spatial.morans_i_permutation(df, "value", 6, permutations=99).first()
-    joined = spatial.morans_i_permutation(df, "value", 6, permutations=99, shipped_rows=0).first()
-    assert tuple(shipped) == pytest.approx(tuple(joined)) and shipped.p_value == 0.01 and shipped.z_score > 4
+    one = spatial.morans_i_permutation(df, "value", 6, permutations=99).first()
+    assert tuple(one) == pytest.approx(want[6]) and one.p_value == 0.01 and one.z_score > 4
+    both = {r["k"]: r for r in spatial.morans_i_by_k(df, "value", (4, 6), permutations=99).collect()}
+    assert all(tuple(both[k])[1:] == pytest.approx(want[k]) for k in (4, 6))
+    mixed = spark.createDataFrame(pd.concat([pdf, more]))
+    by = {r["kind"]: r for r in spatial.morans_i_by_category(mixed, "value", "kind", k=6, permutations=99).collect()}
+    assert (by["a"]["moran_i"], by["a"]["p_value"], by["a"]["z_score"]) == pytest.approx(want[6]) and by["b"]["p_value"] > 0.01
+    flat = spatial.morans_i_permutation(spark.createDataFrame(pdf.assign(value=1.0)), "value", 6, permutations=9).first()
+    assert flat.p_value is None and flat.z_score is None
     normal = spatial.morans_i_normal(df, "value", 6).first()
-    assert normal.z_score == pytest.approx(shipped.z_score, rel=0.25)
+    assert normal.z_score == pytest.approx(one.z_score, rel=0.25)
 
 
 def test_local_significance_matches_direct_draws(spark):
