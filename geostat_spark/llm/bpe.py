@@ -6,12 +6,17 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 # The tokenizer's contractions, letters, single digits and runs of other characters, in ASCII.
 ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+# The same for Latin letters below U+0250: none of them is changed by composition, and lower case is letter by letter.
+LATIN_END = "\u0250"
+latin_pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+").findall
 # White space as the tokenizer sees it. ``str.split`` differs only in the four separators 1C-1F.
 space_free = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall
 separators = re.compile("[\x1c-\x1f]").search
@@ -79,43 +84,45 @@ class Merges:
     def encode_all(self, words: Iterable[str]) -> dict[str, list[str]]:
         """The tokens of every word.
 
-        The words go into a trie whose last step carries the suffix. Depth first, each node gets the last token of
+        The words make a trie whose last step carries the suffix; sorted, they are its paths depth first, so a word
+        takes over the states of the prefix it shares with the one before. Each further node gets the last token of
         its prefix's encoding: the one token that ends there and may stand after the last token of the prefix
-        before it. What words share is encoded once; a word's tokens are read back from its end."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for symbol in word[:-1]:
-                node = node.setdefault(symbol, {})
-            node.setdefault(word[-1] + self.suffix, word)
+        before it. What words share is encoded once; a word's tokens are read back from its end. One word costs its
+        letters times the longest token's, whatever its length."""
         out: dict[str, list[str]] = {}
         last, size = [""], [0]  # by depth, of the path walked
-        path, reached, longest, apart = "", self.reached, self.longest, self._apart
-        stack: list = [(0, symbol, child) for symbol, child in root.items()]
-        while stack:
-            depth, symbol, child = stack.pop()
-            path = path[:depth] + symbol
-            depth += 1
-            begin = max(0, depth - longest.get(symbol, 1))
-            token = path[begin:]
-            while begin < depth - 1 and token not in reached or begin and not (
-                apart[last[begin], token] if (last[begin], token) in apart else self.stand(last[begin], token)
-            ):
-                begin += 1
-                token = path[begin:]
-            if depth == len(last):
+        reached, longest, apart, stand, suffix = self.reached, self.longest, self._apart, self.stand, self.suffix
+        before = ""
+        for word in sorted(words):
+            n = len(word)
+            shared, most = 0, min(len(before), n) - 1
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            before = word
+            del last[shared + 1 :], size[shared + 1 :]
+            for depth in range(shared + 1, n + 1):
+                symbol, end = (word[depth - 1], "") if depth < n else (word[-1] + suffix, suffix)
+                begin = depth - longest.get(symbol, 1)
+                if begin < 0:
+                    begin = 0
+                while True:
+                    token = word[begin:depth] + end
+                    if begin == depth - 1 or token in reached:
+                        if not begin:
+                            break
+                        key = (last[begin], token)
+                        known = apart.get(key)
+                        if stand(*key) if known is None else known:
+                            break
+                    begin += 1
                 last.append(token)
                 size.append(depth - begin)
-            else:
-                last[depth], size[depth] = token, depth - begin
-            if isinstance(child, str):
-                tokens, at = [], depth
-                while at:
-                    tokens.append(last[at])
-                    at -= size[at]
-                out[child] = tokens[::-1]
-            else:
-                stack.extend((depth, s, c) for s, c in child.items())
+            tokens, at = [], n
+            while at:
+                tokens.append(last[at])
+                at -= size[at]
+            tokens.reverse()
+            out[word] = tokens
         return out
 
 
@@ -134,24 +141,45 @@ class Encoder:
         self.ids = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in stated["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
+        split = self.library.pre_tokenizer.pre_tokenize_str
+        self.latin = {o: "".join(p for p, _ in split(chr(o))) for o in range(0x80, 0x250) if chr(o).isprintable()}
         self.remembered = remembered
-        self.pieces: dict[str, list[str]] = {}
-        self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.numbers = {t: str(i) for t, i in self.ids.items()}
+        self.pieces: dict[str, tuple[str, str]] = {}  # ids and tokens, joined by spaces
+        self.chunk_ids: dict[str, str] = {}
+        self.chunk_tokens: dict[str, str] = {}
+        self.blank: set[str] = set()  # chunks of no token
 
     def _pieces_of(self, chunk: str) -> list[str]:
-        if chunk.isascii() and chunk.isprintable():
-            return ascii_pieces(chunk.lower())
+        if chunk.isprintable():
+            if chunk.isascii():
+                return ascii_pieces(chunk.lower())
+            if max(chunk) < LATIN_END:
+                return [p.translate(self.latin) for p in latin_pieces(chunk.lower())]
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.pieces) > self.remembered:
-            self.pieces.clear()
+        pieces, numbers = self.pieces, self.numbers
         parts = {c: self._pieces_of(c) for c in chunks}
-        fresh = {p for ps in parts.values() for p in ps if p not in self.pieces}
-        self.pieces.update(self.merges.encode_all(fresh))
+        fresh = {p for ps in parts.values() for p in ps if p not in pieces}
+        for piece, tokens in self.merges.encode_all(fresh).items():
+            pieces[piece] = " ".join([numbers[t] for t in tokens]), " ".join(tokens)
         for chunk, ps in parts.items():
-            tokens = [t for p in ps for t in self.pieces[p]]
-            self.chunks[chunk] = (len(tokens), " ".join([str(self.ids[t]) for t in tokens]), " ".join(tokens))
+            if len(ps) == 1:
+                self.chunk_ids[chunk], self.chunk_tokens[chunk] = pieces[ps[0]]
+            else:
+                found = [pieces[p] for p in ps]
+                self.chunk_ids[chunk] = " ".join([f[0] for f in found])
+                self.chunk_tokens[chunk] = " ".join([f[1] for f in found])
+                if not ps:
+                    self.blank.add(chunk)
+
+    def _forget(self) -> None:
+        """Drops the older half of what is remembered."""
+        for table in (self.pieces, self.chunk_ids, self.chunk_tokens):
+            for key in list(islice(table, len(table) // 2 if len(table) > self.remembered // 2 else 0)):
+                del table[key]
+        self.blank.intersection_update(self.chunk_ids)
 
     def split(self, text: str | None) -> list[tuple[str | None, list[str]]]:
         """The text as special tokens and, between them, white-space-free chunks."""
@@ -161,26 +189,32 @@ class Encoder:
 
     def prepare(self, texts: list[list[tuple[str | None, list[str]]]]) -> None:
         """Encode all chunks of the split texts that are not remembered, in one trie."""
-        known = self.chunks
-        unknown = {c for text in texts for _, chunks in text for c in chunks if c not in known}
-        if len(known) + len(unknown) > self.remembered:
-            known.clear()
-            unknown = {c for text in texts for _, chunks in text for c in chunks}
+        met: set[str] = set()
+        for text in texts:
+            for _, chunks in text:
+                met.update(chunks)
+        if len(self.chunk_ids) > self.remembered:
+            self._forget()
+        unknown = met.difference(self.chunk_ids)
         if unknown:
             self._learn(unknown)
 
     def describe(self, split: list[tuple[str | None, list[str]]]) -> tuple[int, str, str]:
         """(number of tokens, ids joined by spaces, decoded text) of a prepared text: without a decoder, tokens
         are joined by spaces."""
-        known, found = self.chunks, []
+        ids, decoded = [], []
         for special, chunks in split:
-            found += [(1, str(self.special[special]), special)] if special else [known[c] for c in chunks]
-        if not found:
-            return 0, "", ""
-        counts, ids, decoded = zip(*found)
-        if 0 in counts:
-            ids, decoded = filter(None, ids), filter(None, decoded)
-        return sum(counts), " ".join(ids), " ".join(decoded)
+            if special:
+                ids.append(str(self.special[special]))
+                decoded.append(special)
+                continue
+            if self.blank and not self.blank.isdisjoint(chunks):
+                chunks = [c for c in chunks if c not in self.blank]
+            if chunks:
+                ids.append(" ".join(map(self.chunk_ids.__getitem__, chunks)))
+                decoded.append(" ".join(map(self.chunk_tokens.__getitem__, chunks)))
+        whole = " ".join(ids)
+        return (whole.count(" ") + 1 if whole else 0), whole, " ".join(decoded)
 
     def encode(self, text: str | None) -> list[int]:
         split = self.split(text)
