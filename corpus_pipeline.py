@@ -11,7 +11,7 @@ from geostat_spark.llm.mixing import mixed_documents
 from geostat_spark.llm.queries import tokenizer_path
 from geostat_spark.llm.simhash import drop_near_duplicates
 from geostat_spark.llm.text import hash_part
-from geostat_spark.session import cut
+from geostat_spark.session import cut_and_release, tables_so_far
 
 UNWANTED: tuple[str, ...] = ()  # languages whose documents go
 
@@ -54,10 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again by the next."""
+    """All stages over ``documents``, each written to the shared folder and read again by the next. What a stage
+    has written on the way, and the stage before it, are deleted once the next reads its result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begun = tables_so_far()
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs = cut(docs)
+            docs = cut_and_release(docs, begun)
     return docs

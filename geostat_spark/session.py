@@ -59,14 +59,29 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete every table this process has cut so far; results that still read them must be written first."""
+def tables_so_far() -> int:
+    """A mark for ``release``: how many paths have been given out."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables this process has cut since the mark ``since``; results that still read them must be
+    written first."""
     deleted = 0
-    while _WRITTEN:
+    while len(_WRITTEN) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         deleted += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return deleted
 
 
+def cut_and_release(df: DataFrame, since: int) -> DataFrame:
+    """``cut``, and delete the tables cut since the mark that led to it."""
+    out = cut(df)
+    path = _WRITTEN.pop()
+    release(df.sparkSession, since)
+    _WRITTEN.append(path)
+    return out
+
+
 def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
