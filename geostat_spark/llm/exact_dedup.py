@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geostat_spark.llm.text import fresh, lower_ascii
+from geostat_spark.llm.text import fresh, in_place, lower_ascii
 from geostat_spark.operators.attach import attach_counted
 from geostat_spark.session import cut
 
@@ -43,6 +43,7 @@ def exact_dedup(
     prefix_chars: int = 64,
     sieve_bits: int = 1 << 22,
     digest_all: bool = False,
+    row: str | None = None,
 ) -> DataFrame:
     """One row per document: the id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
@@ -51,10 +52,13 @@ def exact_dedup(
     whole texts among shared (length, prefix) pairs. Texts never leave their scan: only counts and digests are
     shuffled. ``text_sha256`` is null for a text proven unique before its last pass, unless ``digest_all``.
 
+    ``row``: a column that tells the rows apart; it is returned too.
+
     Null text counts as empty; an empty text is a text like others. A null id is smaller than any other. Of
     rows that repeat both id and text one (any) is kept. Other columns are ignored. No rows give no rows."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id).alias("id"), whole.alias("whole"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id).alias("id"), whole.alias("whole"), number.alias("row"))
     length = F.octet_length("whole")
     lengths = _sieve(rows.groupBy(length.alias("n")).count().where("count > 1"), F.col("n"), sieve_bits)
 
@@ -74,7 +78,7 @@ def exact_dedup(
             "id",
             "shared",
             (digest if digest_all else F.when(F.col("shared"), digest)).alias("sha"),
-            F.monotonically_increasing_id().alias("row"),
+            "row",
         )
     )
     groups = (
@@ -90,21 +94,32 @@ def exact_dedup(
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("group_size").isNull() | (F.col("row") == F.col("best.row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *([F.col("row").alias(row)] if row else []),
     )
 
 
+MOST_BITS = 1 << 25  # 4 MB, the most that is broadcast to tell rows without a mark from others
+
+
+def sieved(rows: DataFrame, marked: DataFrame, key: str) -> DataFrame:
+    """The rows with ``shared``: false where surely no row of ``marked`` has their key. 16 bits a mark up to
+    ``MOST_BITS`` let a sixteenth of the other rows through; with very many marks more come through, never fewer."""
+    bits = min(MOST_BITS, max(1 << 15, 1 << (16 * max(marked.count(), 1)).bit_length()))
+    return _through(rows, _sieve(marked.select(key), F.col(key), bits), F.col(key), bits)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in ``gone``. Only rows that a sieve of the gone keys lets through are shuffled."""
+    told = sieved(rows, gone, key)
+    stay = told.where(~F.col("shared")).drop("shared")
+    return stay.unionByName(told.where("shared").drop("shared").join(gone.select(key), key, "left_anti").select(*stay.columns))
+
+
 def drop_exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, all columns, with one row left of each group of equal texts (see ``exact_dedup``).
 
     Rows that repeat id and text but differ in other columns leave one of them."""
-    key, sha, own, stays = fresh(docs, "_id", "_sha", "_own", "_stays")
-    digest = F.sha2(lower_ascii(F.coalesce(F.col(text), F.lit(""))), 256)
-    found = exact_dedup(docs, id, text, **options).where("group_size > 1")
-    pairs = found.groupBy(F.col(id).alias(key), F.col("text_sha256").alias(sha)).agg(F.max("kept").alias(stays), F.count(F.lit(1)).alias("n"))
-    gone = cut(pairs.where(~F.col(stays) | (F.col("n") > 1)).drop("n"))
-    marked = docs.withColumn(own, digest).join(gone, F.col(id).eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha)), "left")
-    rest = marked.where(F.col(stays).isNull()).select(*docs.columns)
-    if gone.where(F.col(stays)).isEmpty():
-        return rest
-    twins = marked.where(F.col(stays)).dropDuplicates([key, sha]).select(*docs.columns)
-    return rest.unionByName(twins)
+    (row,) = fresh(docs, "_row")
+    rows = in_place(docs, row)
+    gone = cut(exact_dedup(rows, id, text, row=row, **options).where("not kept").select(row))
+    return without(rows, gone, row).select(*docs.columns)

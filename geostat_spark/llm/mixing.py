@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from geostat_spark.llm.text import fresh, n_words
+from geostat_spark.llm.text import fresh, in_place, n_words
 from geostat_spark.session import cut
 
 SETTLED = 1e-9
@@ -175,6 +175,7 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents, all columns, each as often as ``mix_sources`` takes it."""
     row, copy = fresh(docs, "_row", "_copy")
-    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    times = mix_sources(numbered, id, text, source, row=row, **options).where("times > 0").select(row, F.col("times").alias(copy))
-    return numbered.join(times, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)
+    rows = in_place(docs, row)
+    times = cut(mix_sources(rows, id, text, source, row=row, **options).where("times > 0").select(row, F.col("times").alias(copy)))
+    # A merge join at every size: what a document is worth is known for all documents, which is too much to broadcast.
+    return rows.join(times.hint("merge"), row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)

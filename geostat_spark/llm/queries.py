@@ -51,7 +51,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark)
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path, least_bytes=0)
-    number = lambda urn: F.regexp_extract(urn, "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
+    number = lambda urn: F.regexp_extract(urn, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
     return read_warc(spark, path, with_payload=False).where("fault is null").select(
         number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to")
     )
@@ -260,7 +260,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRS
 f AS (
   SELECT *, CASE WHEN NOT {_NOT_BLANK} THEN 'blank'
                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
-                 WHEN regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                 WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
          lag(role) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM o),
 walk AS (
   SELECT conv_id, 0::BIGINT AS n, {_AS(_PUT_IN)}

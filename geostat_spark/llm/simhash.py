@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geostat_spark.llm.text import LOWERED, fresh, words_in
+from geostat_spark.llm.exact_dedup import without
+from geostat_spark.llm.text import LOWERED, fresh, in_place, words_in
 from geostat_spark.operators.attach import attach_counted
 from geostat_spark.operators.components import connected_components
 from geostat_spark.session import cut
@@ -45,10 +46,10 @@ def fingerprint(text: str | None, shingle: int, seed: int) -> int:
 def fingerprints(
     docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, row: str | None = None
 ) -> DataFrame:
-    """(id, row, fp): the fingerprint of every document as a signed long; ``row``: a column that numbers the rows,
+    """(id, row, fp): the fingerprint of every document as a signed long; ``row``: a column that tells the rows apart,
     null without one."""
-    number = F.col(row) if row else F.lit(None)
-    rows = docs.select(F.col(id).alias("id"), number.cast("long").alias("row"), F.col(text).alias("text"))
+    number = F.col(row) if row else F.lit(None).cast("long")
+    rows = docs.select(F.col(id).alias("id"), number.alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +60,8 @@ def fingerprints(
                 [batch.column("id"), batch.column("row"), pa.array(found.view(np.int64))], names=["id", "row", "fp"]
             )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row long, fp long")
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("id", "row")]
+    return rows.mapInArrow(run, f"id {kinds[0]}, row {kinds[1]}, fp long")
 
 
 def _signed(value: int) -> int:
@@ -228,10 +230,10 @@ def drop_near_duplicates(
 
     Rows are told apart by a number of their own, so null ids and ids that occur twice stand for nothing else."""
     (row,) = fresh(docs, "_row")
-    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    numbered = in_place(docs, row)
     marks = cut(fingerprints(numbered, id, text, shingle, seed, row))
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     resolved = _resolved(marks, F.min(first), max_bits, run_cap)
     found = attach_counted(marks, resolved, ["fp"], "n_copies", "row", marks.count())
     gone = cut(found.where(F.col("row") != F.col("least.row")).select(F.col("row").alias(row)))
-    return numbered.join(gone, row, "left_anti").select(*docs.columns)
+    return without(numbered, gone, row).select(*docs.columns)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geostat_spark.llm.exact_dedup import _sieve, _through
+from geostat_spark.llm.exact_dedup import sieved
 from geostat_spark.llm.word_arrays import ODD, OTHER_ODD, WordHashes, Windows, mixed, utf8, word_pieces
 from geostat_spark.operators.attach import attach_counted
 from geostat_spark.session import cut
@@ -18,7 +18,6 @@ from geostat_spark.session import cut
 # Perfect difference sets; every distance modulo the period is a difference of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 STRETCH = 1 << 18  # words whose windows are hashed at a time
-SIEVE_BITS = 1 << 25  # 4 MB, the most that is broadcast to tell documents without a mark from others
 
 
 def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
@@ -114,17 +113,6 @@ def _met(rows: DataFrame, length: int) -> DataFrame:
     return cut(full.join(keys.select("key"), "key", "left_semi").select("id", "mark", "place", "key", "content"))
 
 
-def _bits(marked: int) -> int:
-    """Bits of a sieve for so many documents: 16 each, and never more than ``SIEVE_BITS``."""
-    return min(SIEVE_BITS, max(1 << 15, 1 << (16 * max(marked, 1)).bit_length()))
-
-
-def _sieved(rows: DataFrame, marked: DataFrame) -> DataFrame:
-    """The rows with ``shared``: false where no row of ``marked`` has their mark, so that they need not travel."""
-    bits = _bits(marked.count())
-    return _through(rows, _sieve(marked.select("mark"), F.col("mark"), bits), F.col("mark"), bits)
-
-
 def _same_document(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     named = b.withColumnRenamed("id", "_id").withColumnRenamed("mark", "_mark")
     return a.join(named, a["id"].eqNullSafe(named["_id"]) & (a["mark"] == named["_mark"]), how).drop("_id", "_mark")
@@ -153,7 +141,7 @@ def repeated_windows(rows: DataFrame, length: int = 50) -> DataFrame:
     rest = judged.where(~_later(F.col("id"), F.col("least"))).drop("content", "least")
     open_ = attach_counted(rest, several.select("key", "classes", "n"), ["key"], "n", "mark", n_met).where("classes > 1")
     open_ = cut(open_.groupBy("id", "mark").agg(F.collect_set("place").alias("places")))
-    texts = _same_document(_sieved(rows, open_).where("shared").drop("shared"), open_, "inner")
+    texts = _same_document(sieved(rows, open_, "mark").where("shared").drop("shared"), open_, "inner")
 
     def starts(hashes: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         n = len(hashes)
@@ -230,7 +218,7 @@ def remove_earlier_passages(
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c) for c in zip(*out)]], names=names)
 
     schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    sieved = _sieved(rows, spans)
-    marked = _same_document(sieved.where("shared").drop("shared"), spans, "left").select("id", "text", "spans")
-    untouched = sieved.where(~F.col("shared")).select("id", "text")
+    told = sieved(rows, spans, "mark")
+    marked = _same_document(told.where("shared").drop("shared"), spans, "left").select("id", "text", "spans")
+    untouched = told.where(~F.col("shared")).select("id", "text")
     return marked.mapInArrow(run, schema).unionByName(untouched.mapInArrow(run, schema)).withColumnRenamed("id", id)

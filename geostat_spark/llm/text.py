@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, functions as F
+
+from geostat_spark.session import cut
 
 # White space is the six ASCII characters 20 and 09-0D; everything else is part of a word.
 SPACE = r"[\x20\x09-\x0D]"
@@ -47,3 +50,12 @@ def fresh(df, *names: str) -> list[str]:
             name += "_"
         out.append(name)
     return out
+
+
+def in_place(table: DataFrame, name: str) -> DataFrame:
+    """The rows of a table, as ``spark.read`` gives it, with a text that tells each from all others at every reading:
+    a hash of its file's name and its place there. Other rows are numbered in a written table."""
+    try:
+        return table.select("*", F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), "_metadata.row_index").alias(name))
+    except AnalysisException:
+        return cut(table.withColumn(name, F.monotonically_increasing_id()))
