@@ -14,6 +14,8 @@ from geostat_spark.catalog.inputs import define, points, sites, sql, table
 from geostat_spark.catalog.registry import query
 from geostat_spark.catalog.statistics import _SPLIT, fold_scores
 from geostat_spark.catalog.tabular import r
+from geostat_spark.functions import tails
+from geostat_spark.functions.permutation import mixed_sql
 from geostat_spark.operators import ensemble, evaluation, hypothesis, models, resampling, shap, splits
 from geostat_spark.plans import reports
 from geostat_spark.session import cut, shared_folder
@@ -180,19 +182,50 @@ def _(spark, d):
     return resampling.bootstrap_draws(_scored(spark, d), "actual", "predicted", replicates=200)
 
 
-@query("bootstrap_intervals_weighted")
+_LEVELS = ", ".join(map(str, resampling.poisson_levels()))
+_OF_REPLICATE = mixed_sql("key", "(rep + 1)")
+define("boot_rows", """SELECT CAST('0x' || substr(md5(CAST(site_id AS VARCHAR) || ':42'), 1, 15) AS BIGINT) AS key, abs(actual - predicted) AS e1,
+ (actual - predicted) * (actual - predicted) AS e2, actual - (SELECT avg(actual) FROM scored) AS y FROM scored""", "scored")
+define("boot_hashed", f"SELECT rep, key, e1, e2, y, {_OF_REPLICATE} AS h FROM boot_rows, (SELECT unnest(range(1000)) AS rep)", "boot_rows")
+define("boot_weighted", f"""SELECT rep, e1, e2, y, len(list_filter([{_LEVELS}]::BIGINT[], lambda v : v <= u)) AS w
+ FROM (SELECT *, ({mixed_sql('h', '1')} << 31) | {mixed_sql('h', '2')} AS u FROM boot_hashed)""", "boot_hashed")
+define("boot_scores", """SELECT sum(w * e1) / sum(w) AS mae, sqrt(sum(w * e2) / sum(w)) AS rmse, 1 - sum(w * e2) / (sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w)) AS r2 FROM boot_weighted GROUP BY rep""", "boot_weighted")
+
+
+@query("bootstrap_intervals_weighted", sql(" UNION ALL ".join(
+    f"SELECT '{m}' AS metric, round(avg({m}), 8) AS mean, round(stddev_pop({m}), 8) AS std, round(quantile_cont({m}, 0.025), 8) AS ci_lower, round(quantile_cont({m}, 0.975), 8) AS ci_upper FROM boot_scores"
+    for m in ("mae", "rmse", "r2")), "boot_scores"))
 def _(spark, d):
-    return resampling.bootstrap_weights(_scored(spark, d), "actual", "predicted", replicates=1000)
+    return r(resampling.bootstrap_weights(_scored(spark, d), "actual", "predicted", replicates=1000), 8)
+
+
+def _horner(coefficients, x: str) -> str:
+    out = repr(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _quantile_sql(p: str) -> str:
+    ratio = lambda pair, x: f"{_horner(pair[0], x)} / {_horner(pair[1], x)}"
+    centre, side = f"(0.180625e0 - ({p} - 0.5e0) * ({p} - 0.5e0))", f"sqrt(-ln(least({p}, 1 - {p})))"
+    tail = f"CASE WHEN {side} <= 5 THEN {ratio(tails.TAILS, f'({side} - 1.6e0)')} ELSE {ratio(tails.FAR_TAILS, f'({side} - 5)')} END"
+    return f"CASE WHEN abs({p} - 0.5e0) <= 0.425e0 THEN ({p} - 0.5e0) * {ratio(tails.CENTRE, centre)} ELSE sign({p} - 0.5e0) * ({tail}) END"
+
+
+define("medians", """SELECT rank, e AS ordered, CASE WHEN rank = n THEN pow(0.5e0, 1e0 / n) WHEN rank = 1 THEN 1 - pow(0.5e0, 1e0 / n) ELSE (rank - 0.3175e0) / (n + 0.365e0) END AS p
+FROM (SELECT actual - predicted AS e, row_number() OVER (ORDER BY actual - predicted) AS rank, count(*) OVER () AS n FROM scored)""", "scored")
+define("quantiles", f"SELECT rank, ordered, {_quantile_sql('p')} AS theoretical FROM medians", "medians")
 
 
-@query("normal_quantiles")
+@query("normal_quantiles", sql("SELECT rank, round(theoretical, 9) + 0e0 AS theoretical, round(ordered, 9) + 0e0 AS ordered FROM quantiles", "quantiles"))
 def _(spark, d):
-    return resampling.normal_quantiles(evaluation.residuals(_scored(spark, d)), "residual")
+    return r(resampling.normal_quantiles(evaluation.residuals(_scored(spark, d)), "residual"), 9)
 
 
-@query("normal_fit")
+@query("normal_fit", sql("SELECT round(regr_slope(ordered, theoretical), 8) AS slope, round(regr_intercept(ordered, theoretical), 8) + 0e0 AS intercept, round(corr(ordered, theoretical), 8) AS r FROM quantiles", "quantiles"))
 def _(spark, d):
-    return resampling.normal_fit(resampling.normal_quantiles(evaluation.residuals(_scored(spark, d)), "residual"))
+    return r(resampling.normal_fit(resampling.normal_quantiles(evaluation.residuals(_scored(spark, d)), "residual")), 8)
 
 
 @query("validation_report", sql("""SELECT 'cross_validation' AS section, model AS subject, metric, round(value, 8) AS value FROM (

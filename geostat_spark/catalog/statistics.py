@@ -73,6 +73,22 @@ def _(spark, d):
 
 # ---- ranks and tests
 
+def chi_upper_sql(x: str, df: str) -> str:
+    """Upper chi-square tail by the plain power series of the lower one."""
+    term = f"exp(({df} / 2e0 + k) * ln(greatest({x}, 1e-300) / 2) - {x} / 2 - lgamma({df} / 2e0 + k + 1))"
+    return f"greatest(0e0, 1 - list_sum(list_transform(range(0, 2000), lambda k : {term})))"
+
+
+def _beta_series(a: str, b: str, x: str) -> str:
+    head = f"exp({a} * ln({x}) + {b} * ln(1 - {x}) + lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) / {a}"
+    return f"{head} * list_sum(list_transform(range(0, 400), lambda k : exp(lgamma({a} + {b} + k) - lgamma({a} + {b}) + lgamma({a} + 1) - lgamma({a} + 1 + k) + k * ln({x}))))"
+
+
+def student_sql(t: str, df: str) -> str:
+    x, rest = f"({df} / ({df} + {t} * {t}))", f"({t} * {t} / ({df} + {t} * {t}))"
+    return f"CASE WHEN {x} <= 0.5 THEN {_beta_series(f'({df} / 2e0)', '0.5e0', x)} ELSE 1 - {_beta_series('0.5e0', f'({df} / 2e0)', rest)} END"
+
+
 define("ranked", """SELECT site_id, primary_fuel, is_renewable, capacity_factor AS v,
  rank() OVER (ORDER BY capacity_factor) + (count(*) OVER (PARTITION BY capacity_factor) - 1) / 2e0 AS rk FROM sites""", "sites")
 define("ties", """SELECT sum(t * t * t - t) AS ties, sum(t) AS n FROM
@@ -107,9 +123,13 @@ def _(spark, d):
     return r(hypothesis.kruskal_wallis(_top_fuels(spark, d), "primary_fuel", "capacity_factor").drop("p_value"), 6)
 
 
-@query("kruskal_wallis_p")
+define("kruskal", """SELECT (12e0 / (max(t.n) * (max(t.n) + 1)) * sum(s * s / u.n) - 3 * (max(t.n) + 1)) / (1 - max(ties) / (max(t.n) * max(t.n) * max(t.n) - max(t.n))) AS h,
+ count(*) - 1 AS df FROM sums12 u CROSS JOIN ties12 t""", "sums12", "ties12")
+
+
+@query("kruskal_wallis_p", sql(f"SELECT round(h, 6) AS h_statistic, df, round({chi_upper_sql('h', 'df')}, 9) AS p_value FROM kruskal", "kruskal"))
 def _(spark, d):
-    return hypothesis.kruskal_wallis(_top_fuels(spark, d), "primary_fuel", "capacity_factor")
+    return r(r(hypothesis.kruskal_wallis(_top_fuels(spark, d), "primary_fuel", "capacity_factor"), 6, "h_statistic"), 9, "p_value")
 
 
 @query("dunn_test", sql("""SELECT a.g AS group_1, b.g AS group_2,
@@ -119,9 +139,13 @@ def _(spark, d):
     return r(hypothesis.dunn_test(_top_fuels(spark, d), "primary_fuel", "capacity_factor").drop("p_adjusted"), 6)
 
 
-@query("dunn_test_p")
+define("dunn", """SELECT a.g AS group_1, b.g AS group_2, (a.s / a.n - b.s / b.n) / sqrt((t.n * (t.n + 1) / 12 - ties / (12 * (t.n - 1))) * (1 / a.n + 1 / b.n)) AS z,
+ (SELECT count(*) * (count(*) - 1) / 2 FROM sums12) AS m FROM sums12 a JOIN sums12 b ON a.g < b.g CROSS JOIN ties12 t""", "sums12", "ties12")
+
+
+@query("dunn_test_p", sql(f"SELECT group_1, group_2, round(z, 6) + 0e0 AS z, round(least(1e0, {chi_upper_sql('(z * z)', '1')} * m), 8) AS p_adjusted FROM dunn", "dunn"))
 def _(spark, d):
-    return hypothesis.dunn_test(_top_fuels(spark, d), "primary_fuel", "capacity_factor")
+    return r(r(hypothesis.dunn_test(_top_fuels(spark, d), "primary_fuel", "capacity_factor"), 6, "z"), 8, "p_adjusted")
 
 
 @query("mann_whitney", sql("""SELECT u AS u_statistic, round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5e0) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z
@@ -171,14 +195,30 @@ def _(spark, d):
     return r(pairs.groupBy(*hypothesis.PAIR).agg(hypothesis.cohens_d().alias("cohens_d")), 6)
 
 
-@query("compare_models")
+define("compared", f"""SELECT model_1, model_2, t, {student_sql('t', '(n - 1)')} AS tp, w,
+ least(1e0, 2e0 * len(list_filter(range(0, 1 << m), lambda s : list_sum(list_transform(range(0, m), lambda i : ((s >> i) & 1) * (i + 1))) <= w)) / (1 << m)) AS wp, cd, md
+FROM (SELECT model_1, model_2, count(*) AS n, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t, avg(d) AS md,
+  CASE WHEN var_pop(s1) + var_pop(s2) > 0 THEN avg(d) / sqrt((var_pop(s1) + var_pop(s2)) / 2) ELSE 0 END AS cd FROM pairs GROUP BY 1, 2)
+JOIN (SELECT model_1, model_2, least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END)) AS w, count(*) AS m
+ FROM (SELECT *, rank() OVER (PARTITION BY model_1, model_2 ORDER BY abs(d)) AS rk FROM pairs WHERE d <> 0) GROUP BY 1, 2) USING (model_1, model_2)""", "pairs")
+_COMPARED = """SELECT model_1, model_2, round(t, 6) + 0e0 AS t_statistic, round(tp, 9) AS t_pvalue, CAST(w AS DOUBLE) AS wilcoxon_statistic, round(wp, 9) AS wilcoxon_pvalue,
+ round(cd, 6) + 0e0 AS cohens_d, tp < 0.05e0 AS significant, {} AS interpretation FROM compared"""
+
+
+def _compared(spark, d, labels):
+    out = hypothesis.compare_models(fold_scores(spark, d), labels=labels)
+    return r(r(out, 6, "t_statistic", "cohens_d"), 9, "t_pvalue", "wilcoxon_pvalue")
+
+
+@query("compare_models", sql(_COMPARED.format("""CASE WHEN tp < 0.05e0 AND md > 0 THEN 'significantly better' WHEN tp < 0.05e0 AND md < 0 THEN 'significantly worse'
+ ELSE 'not significantly different' END"""), "compared"))
 def _(spark, d):
-    return hypothesis.compare_models(fold_scores(spark, d))
+    return _compared(spark, d, "direction")
 
 
-@query("compare_models_difference")
+@query("compare_models_difference", sql(_COMPARED.format("CASE WHEN tp < 0.05e0 THEN 'significantly different' ELSE 'not significantly different' END"), "compared"))
 def _(spark, d):
-    return hypothesis.compare_models(fold_scores(spark, d), labels="difference")
+    return _compared(spark, d, "difference")
 
 
 @query("fold_intervals", sql("SELECT model, " + ", ".join(

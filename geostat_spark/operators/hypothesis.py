@@ -1,46 +1,16 @@
-"""Rank-based and paired tests. Ranks and sums are Spark jobs; the tail probability of the one resulting
-statistic is a scalar function applied to the finished rows."""
+"""Rank-based and paired tests. Ranks and sums are Spark jobs; the tail probability of the resulting statistic is an
+expression over the finished rows."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from geostat_spark.functions import distributions as dist
 from geostat_spark.functions.scalar import direction_label, ratio, significance_label
+from geostat_spark.functions.tails import chi_square_p, normal_p, signed_rank_p, student_p
 from geostat_spark.operators.ordering import average_rank, value_ranks
 from geostat_spark.session import cut
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_p(z: pd.Series) -> pd.Series:
-    return z.map(dist.normal_two_sided, na_action="ignore").astype("float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if pd.isna(a) or pd.isna(b) else dist.student_two_sided(a, b) for a, b in zip(t, df)],
-        dtype="float64",
-    )
-
-
-@F.pandas_udf(T.DoubleType())
-def chi_square_p(x: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if pd.isna(a) or pd.isna(b) else dist.chi_square_upper(a, b) for a, b in zip(x, df)],
-        dtype="float64",
-    )
-
-
-@F.pandas_udf(T.DoubleType())
-def signed_rank_p(w: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if pd.isna(a) or pd.isna(b) else dist.signed_rank_two_sided(a, int(b)) for a, b in zip(w, n)],
-        dtype="float64",
-    )
-
-
 def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
     """Per group: ``n``, ``rank_sum`` (average ranks over all rows), plus the whole table's ``rows`` and
     ``ties`` = sum(t^3 - t). Rows collapse to (value, group) counts before anything is ranked."""

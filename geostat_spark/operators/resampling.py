@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from geostat_spark.functions.distributions import normal_quantile
+from geostat_spark.functions.permutation import mixed
 from geostat_spark.functions.scalar import ratio
+from geostat_spark.functions.tails import normal_quantile
 from geostat_spark.operators.ordering import every_rank, with_row_number
 
 
@@ -77,23 +78,21 @@ def bootstrap_weights(
     df: DataFrame, actual: str, predicted: str, id_column: str = "site_id", replicates: int = 1000, seed: int = 42
 ) -> DataFrame:
     """The same intervals from independent Poisson(1) row weights: every row draws its weights from its own
-    id, tasks reduce to one row per replicate, and nothing of size rows * replicates is shuffled."""
-    rows = _scored(df, actual, predicted, id_column).withColumn("key", F.xxhash64("id", F.lit(seed)))
-    # cumulative Poisson(1) probabilities; weights past 12 have probability below 1e-10
-    steps = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, i + 1))) for i in range(13)])
+    id, tasks reduce to one row per replicate, and nothing of size rows * replicates is shuffled.
+
+    A weight is the number of Poisson levels at or below a 62-bit uniform number of (id, replicate); the levels reach
+    as far as that number can tell them apart, so no weight is cut off."""
+    id_hash = F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")
+    rows = _scored(df, actual, predicted, id_column).withColumn("key", id_hash)
+    levels = poisson_levels()
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((replicates, 5))
-        offsets = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        number = np.arange(replicates, dtype=np.int64)
         for pdf in batches:
             for start in range(0, len(pdf), 512):
                 part = pdf.iloc[start : start + 512]
-                with np.errstate(over="ignore"):
-                    v = part["key"].to_numpy().astype(np.uint64)[:, None] + offsets[None]
-                    v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                    v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                    v = v ^ (v >> np.uint64(31))
-                w = np.searchsorted(steps, (v >> np.uint64(11)) * 2.0**-53, side="right").astype(float)
+                w = poisson_weights(part["key"].to_numpy().astype(np.int64)[:, None], number[None], levels)
                 e1, e2, y = (part[c].to_numpy() for c in ("e1", "e2", "y"))
                 total += w.T @ np.column_stack([np.ones(len(part)), e1, e2, y, y * y])
         yield pd.DataFrame(total, columns=["n", "e1", "e2", "y", "yy"]).assign(rep=np.arange(replicates))
@@ -103,9 +102,31 @@ def bootstrap_weights(
     return _summary(_metrics_of_sums(sums.where(F.col("n") > 0)))
 
 
-@F.pandas_udf(T.DoubleType())
-def _normal_quantile(p: pd.Series) -> pd.Series:
-    return p.map(normal_quantile)
+def poisson_levels(bits: int = 62) -> list[int]:
+    """Cumulative Poisson(1) probabilities as integers of so many bits, up to the last that is below one."""
+    from fractions import Fraction
+
+    # 1/e to far more digits than the bits hold, by its own series.
+    inverse, term = Fraction(0), Fraction(1)
+    for k in range(40):
+        inverse += term
+        term /= -(k + 1)
+    out, total, term = [], Fraction(0), inverse
+    for k in range(40):
+        total += term
+        term /= k + 1
+        level = int(total * (1 << bits))
+        if level >= (1 << bits) - 1:
+            return out
+        out.append(level)
+    return out
+
+
+def poisson_weights(key: np.ndarray, replicate: np.ndarray, levels: list[int]) -> np.ndarray:
+    """Weights of rows (60-bit hashes of their ids) in replicates: two mixed 31-bit numbers make the uniform one."""
+    high = mixed(mixed(key, replicate + 1), 1)
+    low = mixed(mixed(key, replicate + 1), 2)
+    return np.searchsorted(np.array(levels, dtype=np.int64), (high << 31) | low, side="right").astype(float)
 
 
 def normal_quantiles(df: DataFrame, value: str) -> DataFrame:
@@ -114,7 +135,7 @@ def normal_quantiles(df: DataFrame, value: str) -> DataFrame:
     last = F.pow(F.lit(0.5), F.lit(1.0) / n)
     median = F.when(i == n, last).when(i == 1, 1 - last).otherwise((i - 0.3175) / (n + 0.365))
     ranked = every_rank(df.select(F.col(value).cast("double").alias("v")), "v")
-    return ranked.select("rank", _normal_quantile(median).alias("theoretical"), F.col("v").alias("ordered"))
+    return ranked.select("rank", normal_quantile(median).alias("theoretical"), F.col("v").alias("ordered"))
 
 
 def normal_fit(quantile_rows: DataFrame) -> DataFrame:
