@@ -279,9 +279,15 @@ def _(spark, d):
     return r(neighbors.knn(points(spark, d), 20), 9)
 
 
-@query("site_knn_join")
+_NEAREST = """SELECT a.site_id AS src, min({{'dist': sqrt((a.longitude - b.longitude) * (a.longitude - b.longitude) + (a.latitude - b.latitude) * (a.latitude - b.latitude)), 'dst': b.site_id}}, 8) AS near
+ FROM {0} a JOIN {0} b ON a.site_id <> b.site_id GROUP BY 1"""
+define("raw_nearest", _NEAREST.format("(SELECT site_id, longitude, latitude FROM raw_sites WHERE longitude IS NOT NULL AND latitude IS NOT NULL)"), "raw_sites")
+
+
+@query("site_knn_join", sql("""SELECT src, e.dst AS dst, CAST(i AS INTEGER) AS rank, round(e.dist, 9) AS dist FROM
+ (SELECT src, unnest(near) AS e, unnest(range(1, len(near) + 1)) AS i FROM raw_nearest)""", "raw_nearest"))
 def _(spark, d):
-    return neighbors.knn(raw_sites(spark, d), 8, ("longitude", "latitude"), "site_id")
+    return r(neighbors.knn(raw_sites(spark, d), 8, ("longitude", "latitude"), "site_id"), 9)
 
 
 @query("knn_weights", sql("SELECT src, dst, 0.125e0 AS w FROM knn8", "knn8"))
@@ -289,7 +295,11 @@ def _(spark, d):
     return spatial.knn_weights(points(spark, d))
 
 
-@query("graph_components")
+define("both_ways", "SELECT src AS a, dst AS b FROM knn8 UNION SELECT dst, src FROM knn8", "knn8")
+define("reach", "SELECT id, id AS root FROM points UNION SELECT b, root FROM reach JOIN both_ways ON a = id", "points", "both_ways")
+
+
+@query("graph_components", sql("SELECT count(DISTINCT root) AS n_components FROM (SELECT id, min(root) AS root FROM reach GROUP BY id)", "reach"))
 def _(spark, d):
     return spatial.graph_components(points(spark, d))
 
@@ -332,9 +342,15 @@ def _(spark, d):
     return r(spatial.morans_i(points(spark, d), "value"), 7)
 
 
-@query("site_morans_i")
+define("site_z", "SELECT site_id, longitude, latitude, capacity_factor - (SELECT avg(capacity_factor) FROM sites) AS z FROM sites", "sites")
+define("site_nearest", _NEAREST.format("site_z"), "site_z")
+
+
+@query("site_morans_i", sql("""SELECT round(sum(z * lag) / sum(z * z), 7) AS moran_i, count(*) AS n FROM (SELECT src, max(s.z) AS z, avg(t.z) AS lag FROM
+ (SELECT src, unnest(near).dst AS dst FROM site_nearest) JOIN site_z s ON s.site_id = src JOIN site_z t ON t.site_id = dst GROUP BY src)""", "site_nearest"))
 def _(spark, d):
-    return spatial.morans_i(sites(spark, d).withColumnRenamed("site_id", "id"), "capacity_factor", 8, ("longitude", "latitude"))
+    rows = sites(spark, d).withColumnRenamed("site_id", "id")
+    return r(spatial.morans_i(rows, "capacity_factor", 8, ("longitude", "latitude")), 7, "moran_i")
 
 
 @query("morans_i_normal", sql("""SELECT round(i, 7) AS moran_i, round(e, 9) AS expected_i, round(v, 9) AS variance, round((i - e) / sqrt(v), 5) AS z_score FROM (

@@ -11,7 +11,8 @@ from geostat_spark.catalog.registry import query
 from geostat_spark.functions.scalar import half_even, log10_positive
 from geostat_spark.operators import clean, features, profile, temporal
 from geostat_spark.operators.features import add_capacity_factor, add_renewable_class
-from geostat_spark.sources.tables import upsert
+from geostat_spark.session import new_path
+from geostat_spark.sources.tables import upsert, upsert_current
 
 
 def r(df, digits=6, *columns):
@@ -27,12 +28,15 @@ def _(spark, d):
     return raw_sites(spark, d)
 
 
-@query("upsert_result_row", """
+_UPSERTED = """
 WITH results AS (SELECT c_mktsegment AS model, round(avg(c_acctbal), 6) AS r2 FROM customer GROUP BY 1),
 fresh AS (SELECT 'MACHINERY' AS model, round(max(s_acctbal), 6) AS r2 FROM supplier
           UNION ALL SELECT 'SUPPLIERS', round(avg(s_acctbal), 6) FROM supplier)
-SELECT * FROM results WHERE model NOT IN (SELECT model FROM fresh) UNION ALL SELECT * FROM fresh""")
-def _(spark, d):
+SELECT * FROM results WHERE model NOT IN (SELECT model FROM fresh) UNION ALL SELECT * FROM fresh"""
+
+
+def _results(spark, d):
+    """(a result table, rows that replace one of it and add another)"""
     results = (
         table(spark, d, "customer")
         .groupBy(F.col("c_mktsegment").alias("model"))
@@ -43,7 +47,21 @@ def _(spark, d):
     fresh = fresh.unionByName(
         s.agg(F.round(F.avg("s_acctbal"), 6).alias("r2")).select(F.lit("SUPPLIERS").alias("model"), "r2")
     )
-    return upsert(results, fresh, "model", "r2")
+    return results, fresh
+
+
+@query("upsert_result_row", _UPSERTED)
+def _(spark, d):
+    return upsert(*_results(spark, d), "model", "r2")
+
+
+@query("upsert_result_file", _UPSERTED)
+def _(spark, d):
+    """The same in a stored table, which each upsert replaces in place."""
+    path = new_path(spark)
+    for rows in _results(spark, d):
+        stored = upsert_current(spark, path, rows, "model", "r2")
+    return stored
 
 
 @query("table_shape", sql("SELECT count(*) AS row_count, CAST(9 AS BIGINT) AS column_count FROM raw_sites", "raw_sites"))
@@ -231,6 +249,19 @@ def _(spark, d):
     return r(out.select("site_id", *[f"{c}_z" for c in cols]))
 
 
+@query("one_hot_many_levels", "SELECT CAST(o_custkey AS VARCHAR) AS level, CAST(count(*) AS DOUBLE) AS ones FROM orders GROUP BY 1")
+def _(spark, d):
+    """Orders as sparse vectors over their customers, summed."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("customer"))
+    levels = features.numbered_levels(rows, "customer")
+    sums = features.one_hot_vectors(rows, "customer", "v", levels).agg(Summarizer.sum(F.col("v")).alias("s"))
+    ones = sums.select(F.posexplode(vector_to_array("s")).alias("index", "ones"))
+    return ones.join(levels, "index").select("level", "ones")
+
+
 @query("one_hot", sql("SELECT site_id, " + ", ".join(
     f"CAST(continent = '{c}' AS INTEGER) AS \"continent_{c}\"" for c in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "Unknown")
 ) + " FROM sites", "sites"))

@@ -6,22 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-# A group table of up to this many rows is shipped whole to every task; a larger one is joined by shuffle.
-SHIPPED_GROUPS = 100_000
+from geostat_spark.session import cut
 
-
-def attach(
-    df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "left", limit: int = SHIPPED_GROUPS
-) -> DataFrame:
+def attach(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """``df`` with the columns of ``groups`` (one row per key combination).
 
-    The group table is evaluated once, up to one row more than ``limit``, to learn whether it is small.
-    If so it becomes a literal table and the join is a broadcast: rows of a hot group stay where they are.
-    Otherwise the join is an ordinary one on the keys."""
-    head = groups.limit(limit + 1).collect()
-    if len(head) <= limit:
-        groups = F.broadcast(df.sparkSession.createDataFrame(head, groups.schema))
-    return df.join(groups, list(keys), how)
+    The group table is written out once, so that Spark knows its real size before it plans the join: a small one is
+    broadcast and the rows of a hot group stay where they are; a large one is joined by shuffle."""
+    return df.join(cut(groups), list(keys), how)
 
 
 def attach_counted(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from geostat_spark.functions.scalar import coerce_double, finite_or_null, nan_to_null
 from geostat_spark.operators.ordering import seeded_hash
@@ -96,6 +96,9 @@ def keep_with_enough_values(df: DataFrame, columns: Sequence[str], minimum: int
     return df.na.drop(thresh=needed, subset=columns) if needed > 0 else df
 
 
+FEW = 100_000  # rows that may be put in order in one task
+
+
 def top_categories(df: DataFrame, category: str, n: int) -> DataFrame:
     """The ``n`` most frequent values; ties go to the smaller name."""
     return (
@@ -124,9 +127,25 @@ def groups_at_least(df: DataFrame, keys: Sequence[str], minimum: int, *aggregate
 
 
 def sample_rows(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (or all, if fewer), the same ones for the same seed on any cluster."""
-    return df.orderBy(seeded_hash(id_column, seed), F.col(id_column)).limit(n)
-
-
-def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+    """Exactly ``n`` rows (or all, if fewer), the same ones for the same seed on any cluster: those of the smallest
+    seeded hashes.
+
+    Rows are counted by the first digits of their hash; all of the digits below the n-th row's are in, and only among
+    the rows that share its digits are the last ones picked by order. Digits are added until these are few."""
+    hashed = df.withColumn("_hash", seeded_hash(id_column, seed))
+    below, wanted, prefix = F.lit(False), n, ""
+    for digits in (4, 8, 12, 16):
+        cell = F.substring("_hash", 1, digits)
+        counts = hashed.where(F.col("_hash").startswith(prefix)).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("rows"))
+        # at most 65,536 cells, whatever the number of rows
+        upto = F.sum("rows").over(Window.partitionBy(F.lit(0)).orderBy("cell"))
+        last = counts.withColumn("upto", upto).where(F.col("upto") > wanted).orderBy("cell").first()
+        if last is None:
+            return df
+        below = cell < last["cell"]
+        wanted -= last["upto"] - last["rows"]
+        prefix = last["cell"]
+        if last["rows"] <= FEW:
+            break
+    edge = hashed.where(F.col("_hash").startswith(prefix)).orderBy("_hash", id_column).limit(wanted)
+    return hashed.where(below).unionByName(edge).drop("_hash")

@@ -72,9 +72,12 @@ def error_by_category(df: DataFrame, category: str, minimum: int = 20, top: int
 
 
 def best_model(scores: DataFrame, baselines: DataFrame) -> DataFrame:
-    """The model with the highest r2 and its improvement over the best baseline, in percent."""
-    model = scores.agg(F.max_by("model", "r2").alias("best_model"), F.max("r2").alias("best_r2"))
-    base = baselines.agg(F.struct(F.max_by("model", "r2").alias("name"), F.max("r2").alias("r2")).alias("b")).scalar()
+    """The model with the highest r2 and its improvement over the best baseline, in percent. Of equal scores the
+    smallest name stands first; a missing score is no candidate."""
+    first = F.min_by("model", F.struct(-F.col("r2"), "model"))
+    scores, baselines = (df.where(F.col("r2").isNotNull()) for df in (scores, baselines))
+    model = scores.agg(first.alias("best_model"), F.max("r2").alias("best_r2"))
+    base = baselines.agg(F.struct(first.alias("name"), F.max("r2").alias("r2")).alias("b")).scalar()
     return model.withColumn("b", base).select(
         "best_model",
         "best_r2",

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from geostat_spark.functions.scalar import capacity_factor, finite_or_null, ratio
 from geostat_spark.operators.attach import attach
-from geostat_spark.operators.ordering import quantiles
+from geostat_spark.operators.ordering import hash_position, quantiles, with_row_number
+from geostat_spark.session import cut
 
 # The fuels counted as renewable; every other fuel is labelled Fossil.
 RENEWABLE_FUELS = ["Solar", "Wind", "Hydro", "Biomass", "Geothermal", "Waste", "Wave and Tidal"]
@@ -138,6 +139,28 @@ def one_hot(df: DataFrame, column: str, levels: Sequence[str] | None = None) ->
     )
 
 
+def numbered_levels(df: DataFrame, column: str) -> DataFrame:
+    """(level, index): the distinct values of a column, numbered from 0 in the order of their hashes. A table, however
+    many there are: nothing is collected."""
+    levels = df.where(F.col(column).isNotNull()).select(F.col(column).alias("level")).distinct()
+    return cut(with_row_number(levels, hash_position("level", 0), "level", "_row").select("level", (F.col("_row") - 1).alias("index")))
+
+
+def one_hot_vectors(df: DataFrame, column: str, output: str, levels: DataFrame | None = None) -> DataFrame:
+    """``df`` with a sparse 0/1 vector over ``levels`` (see ``numbered_levels``; by default those of ``df``). For columns
+    of very many levels: a row holds one number, not a column a level. A missing value or one that is no level has
+    no 1. Hot levels stay where they are while the level table is small enough for Spark to broadcast."""
+    from pyspark.ml.feature import OneHotEncoder
+
+    levels = numbered_levels(df, column) if levels is None else levels
+    size = levels.agg(F.coalesce(F.max("index") + 1, F.lit(0))).first()[0]
+    other = df.sparkSession.createDataFrame([(float(i),) for i in (0, size)], "_index double")  # the last category is left out
+    encoder = OneHotEncoder(inputCol="_index", outputCol=output, dropLast=True).fit(other)
+    found = df.join(levels.select(F.col("level").alias(column), F.col("index").alias("_index")), column, "left")
+    indexed = found.withColumn("_index", F.coalesce("_index", F.lit(size)).cast("double"))
+    return encoder.transform(indexed).select(*df.columns, output)
+
+
 def feature_summary(df: DataFrame) -> DataFrame:
     return df.agg(
         F.avg("capacity_factor").alias("mean_cf"),

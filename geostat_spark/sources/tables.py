@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,6 +10,8 @@ from pyspark.sql import types as T
 
 from geostat_spark.functions.scalar import nan_to_null
 
+CURRENT = "CURRENT"  # names the folder that holds the rows in use
+
 # The text columns of a raw site file; numbers are read as text and coerced by cleaning.
 SITE_SCHEMA = T.StructType(
     [
@@ -70,6 +73,55 @@ def upsert_file(
     return spark.read.parquet(target)
 
 
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``replace_current`` last put at ``path``."""
+    return spark.read.parquet(f"{path}/{_current(spark, path)}")
+
+
+def replace_current(df: DataFrame, path: str) -> DataFrame:
+    """Make ``df`` the table at ``path``, also where ``df`` was read from there.
+
+    The rows are written to a folder of their own beside the table in use; then one small file that names the folder in
+    use is replaced by a rename, which is atomic. A reader sees the old table or the new one, whole; a run that is
+    lost before the rename leaves the old one. The folder in use before stays for readers that have begun, older ones
+    are deleted."""
+    spark = df.sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    root = hadoop.Path(path)
+    files = root.getFileSystem(conf)
+    before = _current(spark, path) if path_exists(spark, f"{path}/{CURRENT}") else None
+    name = f"rows-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    _put(spark, f"{path}/{CURRENT}", name)
+    for status in files.listStatus(root):
+        found = status.getPath().getName()
+        if found.startswith("rows-") and found not in (name, before):
+            files.delete(status.getPath(), True)
+    return read_current(spark, path)
+
+
+def upsert_current(spark: SparkSession, path: str, rows: DataFrame, key: str, order_by: str) -> DataFrame:
+    """``upsert`` into the table at ``path`` in place (see ``replace_current``); one that is not there yet is empty."""
+    there = path_exists(spark, f"{path}/{CURRENT}")
+    return replace_current(upsert(read_current(spark, path), rows, key, order_by) if there else rows, path)
+
+
+def _current(spark: SparkSession, path: str) -> str:
+    return spark.read.text(f"{path}/{CURRENT}").first()[0]
+
+
+def _put(spark: SparkSession, path: str, line: str) -> None:
+    """Replace a file of one line at once: written beside, then renamed over it."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    target, beside = hadoop.Path(path), hadoop.Path(f"{path}-{uuid.uuid4().hex}")
+    stream = target.getFileSystem(conf).create(beside, True)
+    stream.write(bytearray(line.encode()))
+    stream.close()
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(target.toUri(), conf).rename(beside, target, over)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder or file exists on the file system the path names."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

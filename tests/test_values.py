@@ -103,8 +103,15 @@ def test_large_group_table_joins_by_shuffle(spark):
 
     df = spark.range(50).withColumn("k", F.col("id") % 7)
     g = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    small, large = attach(df, g, ["k"]), attach(df, g, ["k"], limit=3)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    small = attach(df, g, ["k"])
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        large = attach(df, g, ["k"])
+        assert "BroadcastHashJoin" not in large._jdf.queryExecution().toString()
+        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) and small.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def years_frame(spark):
