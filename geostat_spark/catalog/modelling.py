@@ -158,6 +158,19 @@ def _(spark, d):
     return hypothesis.fold_intervals(scores, ["mae", "rmse", "r2"])
 
 
+@query("cross_validated_report")
+def _(spark, d):
+    """Forest and boosting in ten folds; their fold scores go into intervals, paired tests and, with the ablation of
+    feature groups, into one report."""
+    rows, names = models.model_table(sites(spark, d))
+    makers = {"forest": lambda t: models.random_forest(trees=5, depth=5), "boosting": lambda t: models.gradient_boosting(rounds=4)}
+    scores = cut(models.cross_validate(models.assembled(rows, names, keep=["site_id"]), makers, folds=10))
+    drops = models.ablation(rows, names, makers["forest"])
+    return reports.statistical_report(
+        hypothesis.fold_intervals(scores, ["mae", "rmse", "r2"]), hypothesis.compare_models(scores).drop("interpretation", "significant"), drops
+    )
+
+
 @query("ablation")
 def _(spark, d):
     rows, names = models.model_table(sites(spark, d))

@@ -327,6 +327,14 @@ def _(spark, d):
     return r(out.select("id", F.col("avg_value").alias("lag")), 7)
 
 
+@query("kernel_lag_of_lattices", sql("SELECT src AS id, round(sum(kw * dst_value) / sum(kw), 7) + 0e0 AS lag, true AS sure FROM kernels GROUP BY src", "kernels"))
+def _(spark, d):
+    """The same with lattices in place of all cells of more than eight sources, and with the error bound."""
+    p = points(spark, d)
+    out = kernel.kernel_average(kernel.adaptive_bandwidth(p, p, 50), p, ["value"], crowded=8)
+    return r(out.select("id", F.col("avg_value").alias("lag"), (F.col("error_value") < 1e-6).alias("sure")), 7, "lag")
+
+
 @query("kernel_lag_fixed_bandwidth", sql("""SELECT src AS id, round(sum(exp(-0.5e0 * (dist / 0.1e0) * (dist / 0.1e0)) * dst_value) / sum(exp(-0.5e0 * (dist / 0.1e0) * (dist / 0.1e0))), 7) + 0e0 AS lag
 FROM dists GROUP BY src""", "dists"))
 def _(spark, d):

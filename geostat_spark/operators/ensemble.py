@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.ml import Model
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from geostat_spark.functions.scalar import ratio
 from geostat_spark.operators.clean import sample_rows
 from geostat_spark.operators.evaluation import score
 from geostat_spark.operators.kernel import adaptive_bandwidth, fixed_bandwidth, kernel_average
@@ -150,13 +151,20 @@ def mixed_prediction(
     dims: Sequence[str] = ("latitude", "longitude"),
     bandwidth: float | None = None,
 ) -> DataFrame:
-    """``test`` plus ``predicted``: its base predictions mixed by the renormalised weights of its place."""
+    """``test`` plus ``predicted``: its base predictions mixed by the renormalised weights of its place, and
+    ``predicted_error``: a proven bound of what the kernel sums can have moved it by (null where the sums are too small
+    to tell)."""
+    add = lambda parts: reduce(lambda a, b: a + b, parts)
     local = _normalised(location_weights(test, weights, names, k, dims, bandwidth), names, "avg_w_", "m_")
-    mix = reduce(lambda a, b: a + b, [F.col(f"p_{n}") * F.col(f"m_{n}") for n in names])
+    off, whole = add([F.col(f"error_w_{n}") for n in names]), add([F.col(f"avg_w_{n}") for n in names])
+    sure = F.greatest(whole - off, F.lit(0.0))
+    moved = {f"e_{n}": ratio(F.col(f"error_w_{n}") + F.col(f"m_{n}") * off, sure) for n in names}
+    held = [f"m_{n}" for n in names] + list(moved)
     return (
-        test.join(local.select("id", *[f"m_{n}" for n in names]), "id")
-        .withColumn("predicted", mix)
-        .drop(*[f"m_{n}" for n in names])
+        test.join(local.withColumns(moved).select("id", *held), "id")
+        .withColumn("predicted", add([F.col(f"p_{n}") * F.col(f"m_{n}") for n in names]))
+        .withColumn("predicted_error", add([F.abs(f"p_{n}") * F.col(f"e_{n}") for n in names]))
+        .drop(*held)
     )
 
 

@@ -3,8 +3,8 @@
 A source further than ``R`` bandwidths away weighs less than exp(-R^2/2); R is chosen from the number of
 sources so that all of them together stay below ``tolerance``. Inside that radius a query visits cells;
 crowded ones are replaced by their halves, and a crowded cell no larger than half a bandwidth is
-represented by a fixed lattice of nodes that reproduces the kernel to about 1e-9 (polynomial
-interpolation of a smooth function). So the work of one query depends neither on how many rows share a
+represented by a fixed lattice of nodes that reproduces the kernel to a few 1e-9 (polynomial
+interpolation of a smooth function). Both errors are bounded and the bound is returned. So the work of one query depends neither on how many rows share a
 place nor on how dense a far-away cell is.
 """
 
@@ -22,6 +22,19 @@ from geostat_spark.operators.neighbors import distance, levels_in_use, neighbour
 from geostat_spark.session import cut
 
 NODES = 8
+# A node lattice stands in for cells of up to this many bandwidths a side.
+WIDEST = 0.5
+
+
+def lattice_error(axes: int) -> float:
+    """The most by which a lattice misses the kernel weight of a unit mass in its cell.
+
+    On one axis, interpolation at m Chebyshev nodes of a cell of side s errs by at most 2 (s / 4)^m / m! times the
+    m-th derivative, which for the Gaussian is at most 1.0865 sqrt(m!) / bandwidth^m (Cramer's bound); each further
+    axis multiplies by the nodes' Lebesgue constant."""
+    one = 2 * 1.0865 * (WIDEST / 4) ** NODES / math.sqrt(math.factorial(NODES))
+    spread = 2 / math.pi * math.log(NODES) + 1
+    return one * sum(spread**k for k in range(axes))
 
 
 def adaptive_bandwidth(
@@ -130,7 +143,10 @@ def kernel_sums(
     crowded: int = 1024,
 ) -> DataFrame:
     """For each distinct (coordinates, bandwidth) of ``queries``: ``mass`` = sum of kernel weights over all
-    sources and, for each value, ``sum_<value>`` = the weighted sum. Missing values count as 0."""
+    sources and, for each value, ``sum_<value>`` = the weighted sum. Missing values count as 0.
+
+    ``mass_error`` is a proven bound of what ``mass`` misses: the sources beyond the radius, and the interpolation of
+    the mass that a lattice stood in for. A weighted sum misses at most that times the largest absolute value."""
     dims, cells = list(dims), cell_names(dims)
     values = list(values)
     places = (
@@ -160,7 +176,7 @@ def kernel_sums(
             cells_of(grid, places.select(*dims), levels_in_use(pairs)).groupBy(*key).agg(F.count(F.lit(1)).alias("held"))
         )
         sized = cut(pairs.join(counts, key))
-        small = grid.cell_side(F.col("level")) <= F.col("bandwidth") / 2
+        small = grid.cell_side(F.col("level")) <= F.col("bandwidth") * WIDEST
         heavy = (F.col("held") > crowded) & (F.col("level") < grid.deepest)
         light, dense = sized.where(~heavy).drop("held"), sized.where(heavy & small).drop("held")
         done = light if done is None else done.unionByName(light)
@@ -175,13 +191,16 @@ def kernel_sums(
     raw = cells_of(grid, places, levels_in_use(done)).select(
         *key, *[F.col(d).alias(f"t_{d}") for d in dims], *measures
     )
-    hits = done.join(raw, key)
+    hits = done.join(raw, key).withColumn("stood_in", F.lit(0.0))
     if not lattice_pairs.isEmpty():
         nodes = _lattice(grid, lattice_pairs.select(*key).distinct(), places, measures)
-        hits = hits.unionByName(lattice_pairs.join(nodes, key))
+        hits = hits.unionByName(lattice_pairs.join(nodes, key).withColumn("stood_in", F.col("mass")))
     dist = distance(here, [F.col(f"t_{d}") for d in dims])
     w = _gauss(dist, F.col("bandwidth"))
-    return hits.groupBy(*dims, "bandwidth").agg(*[F.sum(w * F.col(m)).alias(m) for m in measures])
+    beyond = F.when(F.col("bandwidth") > 0, tolerance).otherwise(0.0)
+    return hits.groupBy(*dims, "bandwidth").agg(
+        *[F.sum(w * F.col(m)).alias(m) for m in measures], F.sum("stood_in").alias("stood_in")
+    ).select(*dims, "bandwidth", *measures, (beyond + F.col("stood_in") * lattice_error(len(dims))).alias("mass_error"))
 
 
 def kernel_average(
@@ -193,10 +212,17 @@ def kernel_average(
     crowded: int = 1024,
 ) -> DataFrame:
     """``queries`` (with a ``bandwidth`` column) plus ``avg_<value>``, the kernel-weighted mean over all
-    sources with weights that sum to 1 per query."""
+    sources with weights that sum to 1 per query, and ``error_<value>``, a proven bound of what it is off by."""
     sums = kernel_sums(queries, sources, values, dims, tolerance, crowded)
+    largest = sources.agg(F.struct(*[F.coalesce(F.max(F.abs(v)), F.lit(0.0)).cast("double").alias(v) for v in values])).scalar()
+    sums = sums.withColumn("_largest", largest)
+    average = {v: ratio(F.col(f"sum_{v}"), F.col("mass")) for v in values}
+    sure = F.greatest(F.col("mass") - F.col("mass_error"), F.lit(0.0))
     means = sums.select(
-        *dims, "bandwidth", *[ratio(F.col(f"sum_{v}"), F.col("mass")).alias(f"avg_{v}") for v in values]
+        *dims,
+        "bandwidth",
+        *[a.alias(f"avg_{v}") for v, a in average.items()],
+        *[ratio(F.col("mass_error") * (F.col(f"_largest.{v}") + F.abs(a)), sure).alias(f"error_{v}") for v, a in average.items()],
     )
     return queries.join(means, [*dims, "bandwidth"], "left")
 

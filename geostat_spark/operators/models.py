@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -150,23 +152,43 @@ def naive_baselines(train: DataFrame, test: DataFrame) -> DataFrame:
     return constant_baselines(train, test).unionByName(linear)
 
 
+AT_ONCE = 4  # fits that run side by side
+
+
 def _folds(rows: DataFrame, folds: int, shuffle: bool, id_column: str) -> DataFrame:
     return cut(with_folds(rows, id_column, folds, shuffle))
 
 
+def _side_by_side(fits: Sequence[Callable[[], DataFrame]], at_once: int = AT_ONCE) -> list[DataFrame]:
+    """The results in order; up to ``at_once`` fits run side by side, so that the short jobs of one fill the gaps that
+    another leaves on the cluster. More fits wait: what they hold in memory does not grow with their number."""
+    spark = SparkSession.active()
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(fit)) for fit in fits]]
+
+
+def out_of_fold(
+    rows: DataFrame, makers: dict[str, Maker], folds: int = 10, shuffle: bool = True, id_column: str = "site_id"
+) -> DataFrame:
+    """(model, fold, id, label, predicted): what each model, fitted without a row's fold, predicts for the row. One table
+    for every score, test and report that follows."""
+    parts = _folds(rows, folds, shuffle, id_column)
+
+    def fit(fold: int, name: str, maker: Maker) -> DataFrame:
+        train, held = parts.where(F.col("fold") != fold), parts.where(F.col("fold") == fold)
+        fitted = maker(train).fit(train).transform(held)
+        return fitted.select(F.lit(name).alias("model"), "fold", id_column, "label", F.col("prediction").alias("predicted"))
+
+    fits = [lambda f=fold, n=name, m=maker: fit(f, n, m) for fold in range(1, folds + 1) for name, maker in makers.items()]
+    return cut(reduce(DataFrame.unionByName, _side_by_side(fits)))
+
+
 def cross_validate(
     rows: DataFrame, makers: dict[str, Maker], folds: int = 10, shuffle: bool = True, id_column: str = "site_id"
 ) -> DataFrame:
     """Fold scores (model, fold, n, mae, rmse, r2). Each model is fitted once per fold and all metrics come
     from the same predictions."""
-    parts = _folds(rows, folds, shuffle, id_column)
-    scored = []
-    for fold in range(1, folds + 1):
-        train, held = parts.where(F.col("fold") != fold), parts.where(F.col("fold") == fold)
-        for name, maker in makers.items():
-            fitted = maker(train).fit(train).transform(held)
-            scored.append(fitted.select(F.lit(name).alias("model"), "fold", "label", F.col("prediction").alias("predicted")))
-    return score(reduce(DataFrame.unionByName, scored), "label", "predicted", ["model", "fold"])
+    return score(out_of_fold(rows, makers, folds, shuffle, id_column), "label", "predicted", ["model", "fold"])
 
 
 def group_members(names: Sequence[str], patterns: Sequence[str]) -> list[str]:
@@ -190,11 +212,13 @@ def ablation(
     parts = cut(with_folds(table, id_column, folds, shuffle=False))
 
     def mean_r2(kept: Sequence[str], label: str) -> DataFrame:
-        rows = assembled(parts, kept, target, keep=["fold"])
-        scored = []
-        for fold in range(1, folds + 1):
+        rows = cut(assembled(parts, kept, target, keep=["fold"]))
+
+        def fit(fold: int) -> DataFrame:
             train, held = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-            scored.append(maker(train).fit(train).transform(held).select("fold", "label", F.col("prediction").alias("predicted")))
+            return maker(train).fit(train).transform(held).select("fold", "label", F.col("prediction").alias("predicted"))
+
+        scored = _side_by_side([lambda f=fold: fit(f) for fold in range(1, folds + 1)])
         per_fold = score(reduce(DataFrame.unionByName, scored), "label", "predicted", ["fold"])
         return per_fold.agg(F.avg("r2").alias("ablated_r2")).withColumn("feature_group", F.lit(label))
 
@@ -221,9 +245,10 @@ def ablation(
     )
 
 
-def importances(model: Model, names: Sequence[str], top: int = 20) -> DataFrame:
-    """Impurity importances by feature name, largest first. One row per feature."""
+def importances(model: Model, names: Sequence[str], top: int | None = None) -> DataFrame:
+    """Impurity importances by feature name, largest first: one row per feature, or the ``top`` ones."""
     values = model.featureImportances.toArray()
     rows = [(n, float(v)) for n, v in zip(names, values)]
     spark = SparkSession.active()
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
+    ranked = spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    return ranked if top is None else ranked.limit(top)

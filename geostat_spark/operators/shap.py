@@ -118,14 +118,14 @@ def shap_values(model: Model, rows: DataFrame, names: Sequence[str], id_column:
     return flat.mapInPandas(explain, f"{id_column} {id_type}, base double, prediction double, shap array<double>")
 
 
-def shap_importance(values: DataFrame, names: Sequence[str], top: int = 20) -> DataFrame:
-    """Mean absolute value per feature, largest first."""
+def shap_importance(values: DataFrame, names: Sequence[str], top: int | None = None) -> DataFrame:
+    """Mean absolute value per feature, largest first: of all features or the ``top`` ones."""
     named = F.array(*[F.lit(n) for n in names])
-    return (
+    ranked = (
         values.select(F.posexplode("shap").alias("pos", "v"))
         .groupBy("pos")
         .agg(F.avg(F.abs("v")).alias("mean_abs_shap"))
         .select(F.element_at(named, F.col("pos") + 1).alias("feature"), "mean_abs_shap")
         .orderBy(F.desc("mean_abs_shap"), "feature")
-        .limit(top)
     )
+    return ranked if top is None else ranked.limit(top)

@@ -34,9 +34,10 @@ def statistical_report(intervals: DataFrame, comparisons: DataFrame, ablation: D
 
 
 def ensemble_record(
-    train: DataFrame, test: DataFrame, makers: dict[str, Maker], k: int = 50, sample: int = 1000
+    train: DataFrame, test: DataFrame, makers: dict[str, Maker], k: int = 50, sample: int | None = None
 ) -> DataFrame:
-    """Fit, contributions on a sample, prediction and scores of the local ensemble as one row."""
+    """Fit, contributions (over all training rows, or a seeded sample), prediction and scores of the local ensemble as
+    one row."""
     start = time.monotonic()
     fitted: LocalEnsemble = fit_ensemble(train, makers, k)
     training = time.monotonic() - start

@@ -34,6 +34,7 @@ def test_kernel_average_equals_dense_matrix(spark, crowded, tol):
     for i in range(len(q)):
         assert got[i]["bandwidth"] == pytest.approx(b[i], abs=1e-12)
         assert got[i]["avg_v"] == pytest.approx(w[i] @ v, rel=tol)
+        assert abs(got[i]["avg_v"] - w[i] @ v) <= got[i]["error_v"] + 1e-13 and got[i]["error_v"] < 1e-5
 
 
 def test_sparse_weights_hold_every_pair_above_the_minimum(spark):
