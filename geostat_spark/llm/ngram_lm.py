@@ -31,7 +31,7 @@ class Settings:
     base: float = 2.0
     probes: int = 3
     bits_per_entry: int = 8
-    most_filter_bytes: int = 256 << 20
+    most_filter_bytes: int = 64 << 20
     hot_words: int = 300_000
     weight: float = 5.0
     bytes_per_part: int = 4 << 20
@@ -223,7 +223,7 @@ def train(texts: DataFrame, settings: Settings) -> tuple[Model, DataFrame]:
     One shuffle brings each n-gram's counts together; a part of the filter is built where they meet."""
     total = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     parts = max(1, -(-total // settings.bytes_per_part))
-    counted = n_gram_counts(texts, parts).repartition(parts, "part")  # a part a task, so that sorts stay small
+    counted = n_gram_counts(texts, parts).repartitionById(parts, "part")  # one part a task, so that sorts stay small
     kind = "part int, bits binary, entries long, most int, hashes array<long>, counts array<long>"
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
