@@ -192,7 +192,7 @@ def _(spark, d):
 
 @query("bootstrap_intervals")
 def _(spark, d):
-    return resampling.bootstrap_draws(_scored(spark, d), "actual", "predicted", replicates=200)
+    return resampling.bootstrap_draws(_scored(spark, d), "actual", "predicted", replicates=1000)
 
 
 _LEVELS = ", ".join(map(str, resampling.poisson_levels()))

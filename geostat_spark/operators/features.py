@@ -34,17 +34,20 @@ def add_renewable_class(df: DataFrame, renewable: Sequence[str] = RENEWABLE_FUEL
 
 
 def impute_group_median(
-    df: DataFrame, column: str, group: str, flag: str, few_distinct: bool = False
+    df: DataFrame, column: str, group: str, flag: str, few_distinct: bool = False, fit_on: DataFrame | None = None
 ) -> DataFrame:
     """Fill missing values with the median of the row's group and flag the rows that were filled.
 
+    ``fit_on``: the rows whose medians are used, such as the training part; by default ``df`` itself.
+
     ``few_distinct`` promises a small domain (years): the exact ``median`` aggregate then holds one count
     per distinct value and pre-aggregates before the shuffle. Any other column goes through the bucketed
     quantiles, whose state does not grow with the group. A group without any value stays NULL."""
+    fit_on = df if fit_on is None else fit_on
     if few_distinct:
-        medians = df.groupBy(group).agg(F.median(column).alias("_median"))
+        medians = fit_on.groupBy(group).agg(F.median(column).alias("_median"))
     else:
-        medians = quantiles(df.select(group, column), column, {"_median": 0.5}, keys=[group])
+        medians = quantiles(fit_on.select(group, column), column, {"_median": 0.5}, keys=[group])
     return (
         attach(df.withColumn(flag, F.col(column).isNull().cast("int")), medians.where(F.col(group).isNotNull()), [group])
         .withColumn(column, F.coalesce(F.col(column), F.col("_median")))
@@ -52,8 +55,9 @@ def impute_group_median(
     )
 
 
-def add_plant_age(df: DataFrame, reference_year: int = REFERENCE_YEAR) -> DataFrame:
-    filled = impute_group_median(df, "commissioning_year", "primary_fuel", "age_missing", few_distinct=True)
+def add_plant_age(df: DataFrame, reference_year: int = REFERENCE_YEAR, fit_on: DataFrame | None = None) -> DataFrame:
+    """Age at ``reference_year``; a missing year is the median of its fuel among ``fit_on`` (by default all rows)."""
+    filled = impute_group_median(df, "commissioning_year", "primary_fuel", "age_missing", True, fit_on)
     return filled.withColumn("plant_age", F.lit(float(reference_year)) - F.col("commissioning_year"))
 
 

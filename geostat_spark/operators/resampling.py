@@ -49,29 +49,43 @@ def _scored(df: DataFrame, actual: str, predicted: str, id_column: str) -> DataF
 def bootstrap_draws(
     df: DataFrame, actual: str, predicted: str, id_column: str = "site_id", replicates: int = 1000, seed: int = 42
 ) -> DataFrame:
-    """Resampling with replacement as n draws per replicate. Draws are hashed to row positions and counted
-    before they meet the rows, so the join carries one row per (replicate, drawn position)."""
+    """Resampling with replacement: each replicate is exactly n draws of the n rows.
+
+    How often a row is drawn is found from above: the draws of a run of row blocks are split between its halves by a
+    binomial number, which is keyed by the run alone, so that every block follows its own path down and all blocks
+    agree. Within a block the draws fall on its rows as a multinomial. A task holds one block's counts; rows cross the
+    network once, and what is added up is one row a block and replicate."""
     rows = with_row_number(_scored(df, actual, predicted, id_column), F.col("id"), "id", "row")
     n = rows.count()
-    spark = df.sparkSession
-    draws = spark.range(replicates * n).select(
-        F.floor(F.col("id") / n).alias("rep"),
-        (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)) + 1).alias("row"),
-    )
-    counted = draws.groupBy("rep", "row").agg(F.count(F.lit(1)).alias("w"))
-    w = F.col("w")
-    sums = (
-        counted.join(rows, "row")
-        .groupBy("rep")
-        .agg(
-            F.sum(w).alias("n"),
-            F.sum(w * F.col("e1")).alias("e1"),
-            F.sum(w * F.col("e2")).alias("e2"),
-            F.sum(w * F.col("y")).alias("y"),
-            F.sum(w * F.col("y") * F.col("y")).alias("yy"),
-        )
-    )
-    return _summary(_metrics_of_sums(sums))
+
+    def draw(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        counts = block_draws(int(key[0]), n, replicates, seed)
+        own = own.sort_values("row", kind="stable")
+        e1, e2, y = (own[c].to_numpy() for c in ("e1", "e2", "y"))
+        total = counts @ np.column_stack([np.ones(len(own)), e1, e2, y, y * y])
+        return pd.DataFrame(total, columns=["n", "e1", "e2", "y", "yy"]).assign(rep=np.arange(replicates))
+
+    blocked = rows.withColumn("block", F.expr(f"(row - 1) div {BLOCK}"))
+    parts = blocked.groupBy("block").applyInPandas(draw, "n double, e1 double, e2 double, y double, yy double, rep long")
+    return _summary(_metrics_of_sums(parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("n", "e1", "e2", "y", "yy")])))
+
+
+BLOCK = 512  # rows whose draws are made together
+
+
+def block_draws(block: int, n: int, replicates: int, seed: int) -> np.ndarray:
+    """(replicates, rows of the block): how often each row of a block is drawn when n rows are drawn n times."""
+    low, high, draws = 0, -(-n // BLOCK), np.full(replicates, n, np.int64)
+    rows = lambda a, b: min(b * BLOCK, n) - min(a * BLOCK, n)
+    while high - low > 1:
+        middle = (low + high) // 2
+        first = np.random.default_rng([seed, low, high]).binomial(draws, rows(low, middle) / rows(low, high))
+        if block < middle:
+            high, draws = middle, first
+        else:
+            low, draws = middle, draws - first
+    m = rows(low, high)
+    return np.random.default_rng([seed, low, high]).multinomial(draws, np.full(m, 1.0 / m))
 
 
 def bootstrap_weights(

@@ -1,4 +1,5 @@
-"""The three end-to-end runs: site analysis, model validation, local ensemble.
+"""The end-to-end runs: site analysis, model validation, local ensemble, yearly features; and the studies that look
+into one subject each: the raw table, capacity factors, autocorrelation, a model's errors.
 
 Each takes a raw site table and a folder, writes its result tables below the folder (Parquet, one per
 result) and returns them by name. Tables that feed several results are written first and read back.
@@ -11,8 +12,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+from geostat_spark.functions.scalar import autocorrelation_label, log10_positive
 from geostat_spark.operators import (
-    clean, clustering, evaluation, features, hypothesis, inequality, models, profile, shap, spatial, splits, temporal,
+    clean, clustering, evaluation, features, hypothesis, inequality, models, profile, resampling, shap, spatial, splits, temporal,
 )
 from geostat_spark.plans import reports
 from geostat_spark.session import cut
@@ -172,3 +174,79 @@ def analyse_years(raw: DataFrame, folder: str, years: Sequence[int] = tuple(temp
     _keep(results, folder, "volatility_histogram", temporal.clipped_histogram(rows, "cf_cv", 0.0, 1.0))
     _keep(results, folder, "trend_histogram", temporal.clipped_histogram(rows, "cf_trend", -0.1, 0.1))
     return results
+
+
+def explore_table(raw: DataFrame, folder: str, numbers: Sequence[str] = ("capacity_mw", "latitude", "longitude")) -> dict[str, DataFrame]:
+    """What a raw site table holds: its shape and columns, missing values, numbers, fuels, countries and the spread of
+    capacities."""
+    results: dict[str, DataFrame] = {}
+    rows = _keep(results, folder, "coerced", clean.coerce_numeric(raw))
+    _keep(results, folder, "shape", profile.shape_of(rows))
+    _keep(results, folder, "columns", profile.column_inventory(rows))
+    _keep(results, folder, "missing_profile", profile.missing_profile(rows))
+    _keep(results, folder, "describe", profile.describe(rows, list(numbers)))
+    _keep(results, folder, "totals", profile.table_totals(rows, "capacity_mw", "country"))
+    _keep(results, folder, "fuel_counts", profile.value_counts(rows, "primary_fuel"))
+    _keep(results, folder, "capacity_by_fuel", profile.sum_by(rows, "primary_fuel", "capacity_mw"))
+    _keep(results, folder, "capacity_by_country", profile.sum_by(rows, "country", "capacity_mw", 20))
+    _keep(results, folder, "distribution_by_fuel", profile.distribution_by(rows, "primary_fuel", "capacity_mw"))
+    generation = [c for c in rows.columns if c.startswith("estimated_generation_gwh_")]
+    for name in generation[-1:]:
+        _keep(results, folder, "coverage_by_fuel", profile.coverage_by(rows, "primary_fuel", name))
+        _keep(results, folder, "coverage_total", profile.coverage_total(rows, name))
+    logs = rows.withColumn("log_capacity", log10_positive(F.col("capacity_mw")))
+    _keep(results, folder, "capacity_histogram", profile.histogram(logs, "log_capacity", 100))
+    _keep(results, folder, "capacity_box", profile.box_stats(rows, "capacity_mw", ["primary_fuel"]))
+    return results
+
+
+def study_capacity_factors(sites: DataFrame, folder: str, top: int = 12) -> dict[str, DataFrame]:
+    """How capacity factors spread, and whether fuels and the renewable class differ. ``sites``: with features."""
+    results: dict[str, DataFrame] = {}
+    value = "capacity_factor"
+    frequent = cut(clean.keep_top_categories(sites, "primary_fuel", top).select("primary_fuel", value))
+    _keep(results, folder, "histogram", profile.histogram(sites, value, 50))
+    _keep(results, folder, "by_fuel", profile.distribution_by(sites, "primary_fuel", value))
+    _keep(results, folder, "box_by_fuel", profile.box_stats(frequent, value, ["primary_fuel"]))
+    _keep(results, folder, "kruskal_wallis", hypothesis.kruskal_wallis(frequent, "primary_fuel", value))
+    _keep(results, folder, "dunn_test", hypothesis.dunn_test(frequent, "primary_fuel", value))
+    _keep(results, folder, "class_comparison", profile.class_comparison(sites, "is_renewable", value))
+    _keep(results, folder, "box_by_class", profile.box_stats(sites, value, ["is_renewable"]))
+    _keep(results, folder, "mann_whitney", hypothesis.mann_whitney(sites, "is_renewable", value))
+    _keep(results, folder, "capacity_correlation", profile.correlation(sites, "capacity_mw", value))
+    return results
+
+
+def study_autocorrelation(
+    sites: DataFrame, folder: str, settings: Settings | None = None, ks: Sequence[int] = (4, 8, 12, 16, 20)
+) -> dict[str, DataFrame]:
+    """Global and local autocorrelation of the capacity factor, by fuel and by neighbourhood size, with permutation
+    p values throughout."""
+    s, results = settings or Settings(), {}
+    points = cut(sites.select(F.col("site_id").alias("id"), *COORDINATES, "primary_fuel", "capacity_factor"))
+    value, k, p = "capacity_factor", s.neighbours, s.permutations
+    moran = spatial.morans_i_permutation(points, value, k, COORDINATES, p)
+    label = autocorrelation_label(F.col("p_value"), F.col("moran_i"))
+    _keep(results, folder, "morans_i", moran.withColumn("interpretation", label))
+    _keep(results, folder, "components", spatial.graph_components(points, k, COORDINATES))
+    _keep(results, folder, "moran_scatter", spatial.moran_scatter(points, value, k, COORDINATES))
+    lisa = _keep(results, folder, "local_moran", spatial.local_moran_significance(points, value, k, COORDINATES, p))
+    _keep(results, folder, "significance_breakdown", spatial.significance_breakdown(lisa))
+    _keep(results, folder, "morans_i_by_fuel", spatial.morans_i_by_category(points, value, "primary_fuel", k=k, dims=COORDINATES, permutations=p))
+    _keep(results, folder, "morans_i_by_k", spatial.morans_i_by_k(points, value, ks, COORDINATES, p))
+    return results
+
+
+def study_errors(predictions: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """A model's errors: their spread, how normal they are, and where they are large. ``predictions``: actual,
+    predicted and the sites' classes, as ``analyse_sites`` leaves them."""
+    results: dict[str, DataFrame] = {}
+    rows = predictions if "residual" in predictions.columns else evaluation.residuals(predictions)
+    _keep(results, folder, "scores", evaluation.score(rows, "actual", "predicted"))
+    _keep(results, folder, "residual_stats", evaluation.residual_stats(rows))
+    _keep(results, folder, "residual_histogram", profile.histogram(rows, "residual", 50))
+    quantiles = _keep(results, folder, "normal_quantiles", resampling.normal_quantiles(rows, "residual"))
+    _keep(results, folder, "normal_fit", resampling.normal_fit(quantiles))
+    _keep(results, folder, "error_by_fuel", evaluation.error_by_category(rows, "primary_fuel"))
+    _keep(results, folder, "intervals", resampling.bootstrap_weights(rows, "actual", "predicted"))
+    return results

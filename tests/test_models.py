@@ -163,6 +163,16 @@ def test_bootstrap_interval_covers_the_estimate(spark, method):
         assert got[m].ci_lower < v < got[m].ci_upper and got[m].mean == pytest.approx(v, rel=0.02)
 
 
+def test_block_draws_are_one_multinomial():
+    """Blocks, each on its own, agree on n draws a replicate; counts have the mean and spread of single draws."""
+    n = 3 * resampling.BLOCK + 100
+    counts = np.concatenate([resampling.block_draws(b, n, 400, 7) for b in range(4)], axis=1)
+    assert counts.shape == (400, n) and (counts.sum(axis=1) == n).all()
+    assert counts.mean(axis=0).std() == pytest.approx(1 / 20, rel=0.15) and counts.var() == pytest.approx(1, rel=0.02)
+    blocks = [counts[:, a : a + 512].sum(axis=1).var() for a in (0, 512, 1024)]
+    assert blocks == pytest.approx([512 * (1 - 512 / n)] * 3, rel=0.25)
+
+
 def test_normal_quantiles_of_normal_values(spark):
     from statistics import NormalDist
 

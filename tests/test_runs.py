@@ -42,3 +42,22 @@ def test_ensemble_run(spark, tmp_path, settings):
 def test_years(spark, tmp_path):
     got = runs.analyse_years(inputs.raw_site_years(spark, DATA), str(tmp_path), inputs.YEARS, 1.0)
     assert got["year_coverage"].count() == 7 and got["volatility_histogram"].agg({"n": "sum"}).first()[0] == got["temporal_features"].count()
+
+
+def test_studies(spark, tmp_path, settings):
+    raw = inputs.raw_sites(spark, DATA)
+    explored = runs.explore_table(raw, f"{tmp_path}/a")
+    assert explored["fuel_counts"].agg({"row_count": "sum"}).first()[0] == raw.where("primary_fuel is not null").count()
+    assert {"missing_profile", "capacity_histogram", "coverage_total", "capacity_box"} <= set(explored)
+    sites = inputs.sites(spark, DATA)
+    factors = runs.study_capacity_factors(sites, f"{tmp_path}/b")
+    assert 0 <= factors["kruskal_wallis"].first().p_value <= 1 and factors["class_comparison"].count() == 2
+    groups = factors["kruskal_wallis"].first().df + 1
+    assert factors["dunn_test"].count() == groups * (groups - 1) // 2
+    near = runs.study_autocorrelation(sites, f"{tmp_path}/c", settings, (4, 8))
+    assert near["morans_i_by_k"].count() == 2 and near["morans_i"].first().interpretation.endswith("spatial autocorrelation")
+    assert near["significance_breakdown"].agg({"sites": "sum"}).first()[0] == near["local_moran"].count() == sites.count()
+    scored = sites.selectExpr("site_id", "primary_fuel", "is_renewable", "continent", "capacity_factor as actual", "0.4 as predicted")
+    errors = runs.study_errors(scored, f"{tmp_path}/d")
+    assert errors["normal_quantiles"].count() == sites.count() and errors["intervals"].count() == 3
+    assert errors["residual_stats"].first().mean == pytest.approx(scored.selectExpr("avg(actual - predicted)").first()[0])

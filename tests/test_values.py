@@ -92,6 +92,13 @@ def test_group_median_imputation(spark):
         ]
 
 
+def test_medians_of_the_training_rows_alone(spark):
+    rows = spark.createDataFrame([(1, "a", 10.0), (2, "a", 30.0), (3, "a", None), (4, "a", 500.0), (5, "b", None)], "id long, g string, v double")
+    for few in (False, True):
+        out = features.impute_group_median(rows, "v", "g", "was", few, fit_on=rows.where("id < 3")).orderBy("id").collect()
+        assert [(r["v"], r["was"]) for r in out] == [(10.0, 0), (30.0, 0), (20.0, 1), (500.0, 0), (None, 1)]
+
+
 def test_lookup_default_and_unknown_group(spark):
     df = spark.createDataFrame([("X",), ("Y",), (None,)], "country_long string")
     look = spark.createDataFrame([("X", "Asia")], "country_long string, continent string")
