@@ -369,7 +369,7 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,gram,crowd", [(400, 100, 2000), (400, 100, 1), (40, 10, 2000), (40, 10, 2)])
+@pytest.mark.parametrize("length,gram,crowd", [(400, 64, 2000), (400, 100, 1), (40, 10, 2000), (40, 10, 2)])
 def test_repeats(spark, docs, none, length, gram, crowd, monkeypatch):
     if length == 40:
         monkeypatch.setattr(suffix_dedup, "STRETCH", 333)
@@ -387,6 +387,30 @@ def test_repeats(spark, docs, none, length, gram, crowd, monkeypatch):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_family(spark):
+    """Levels are sorted arrays of powers of two of batches; scans find every suffix of two batches, with its number."""
+    r = random.Random(4)
+    parts = [[bytes(r.choices(b"abc", k=4)) for _ in range(r.randrange(40))] for _ in range(7)]
+    family = suffix_dedup.SuffixFamily(spark)
+    for k, part in enumerate(parts, 1):
+        family.add(spark.createDataFrame([(x,) for x in part], "suffix binary"))
+        assert [size for size, _ in family.levels] == [1 << b for b in range(3, -1, -1) if k >> b & 1]
+    counted = collections.Counter(x for part in parts for x in part)
+    held = collections.Counter()
+    for _, name in family.levels:
+        for row in spark.table(name).collect():
+            held[bytes(row["suffix"])] += row["n"]
+    assert held == counted
+    assert {bytes(x["suffix"]): x["n"] for x in family.matched().collect()} == {x: n for x, n in counted.items() if n > 1}
+    names = [name for _, name in family.levels]
+    for path in [spark.table(name).inputFiles() for name in names]:
+        for file in path:
+            got = [bytes(x[0]) for x in spark.read.parquet(file).select("suffix").collect()]
+            assert got == sorted(got)
+    family.drop()
+    assert not any(spark.catalog.tableExists(name) for name in names)
+
+
 def test_scores(spark, docs, none):
     table = spark.read.parquet(f"{DATA}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
