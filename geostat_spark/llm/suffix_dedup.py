@@ -104,7 +104,7 @@ def zone_table(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     )
                     numbers.append((first, last, anchor, np.full(len(first), place)))
                     size += len(first)
-                if size > 100_000:
+                if size > 20_000:
                     yield answer()
                     suffixes, contents, numbers, size = [], [], [], 0
             if size:
