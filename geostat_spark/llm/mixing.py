@@ -13,6 +13,7 @@ from geostat_spark.llm.text import fresh, in_place, n_words
 from geostat_spark.session import cut
 
 SETTLED = 1e-9
+LARGEST, SPACED = 9, 5  # units of a source that land, beside the two that the last flight cannot decide
 
 
 def targets(totals: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
@@ -76,23 +77,40 @@ def flight(p: np.ndarray, sizes: np.ndarray, random: np.random.Generator) -> np.
         hand = [i for i in hand if 0 < p[i] < 1]
 
 
-def landing(p: np.ndarray, u: float) -> np.ndarray:
-    """Decides the last units one after another on one uniform number; each keeps its probability and the
-    number taken stays within one of its expectation."""
-    out, reach = np.zeros(len(p)), np.concatenate(([0.0], np.cumsum(p)))
-    for i in range(len(p)):
-        out[i] = np.floor(reach[i + 1] + 1 - u) > np.floor(reach[i] + 1 - u)
-    return out
+def landing(p: np.ndarray, sizes: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """Decides the last few units (at most some 20): of all samples, the one of least imbalance; equals are drawn.
+
+    The imbalance is how far the total size is from its expectation, and a tenth of a unit's mean size for each unit
+    by which the number is more than one off its own."""
+    if not len(p):
+        return p
+    samples = (np.arange(1 << len(p))[:, None] >> np.arange(len(p)) & 1).astype(float)
+    beyond = np.maximum(np.abs(samples.sum(axis=1) - p.sum()) - 1, 0)
+    off = np.abs(samples @ sizes - p @ sizes) + beyond * sizes.mean() / 10
+    return random.choice(samples[off <= off.min() + SETTLED * (1 + sizes.sum())])
+
+
+def _held_back(p: np.ndarray) -> np.ndarray:
+    """Places of the undecided units that land instead of flying: the first, largest ones and some of evenly spaced
+    ranks among the rest. Large units hardly move in a flight; landing them needs the others as change."""
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    rest = open_[LARGEST:]
+    return np.concatenate((open_[:LARGEST], rest[np.unique(np.linspace(0, len(rest) - 1, min(SPACED, len(rest))).astype(int))]))
 
 
 def _settle(last: bool, seed: int, round_number: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "order", "row"], ascending=[False, True, True], kind="stable")
         random = np.random.default_rng([seed, round_number, zlib.crc32(repr(key).encode())])
-        p = flight(rows["p"].to_numpy(), rows["size"].to_numpy(), random)
+        p, sizes = rows["p"].to_numpy().astype(float), rows["size"].to_numpy()
+        p[p < SETTLED], p[p > 1 - SETTLED] = 0.0, 1.0
+        fly = np.ones(len(p), bool)
+        if last:
+            fly[_held_back(p)] = False
+        p[fly] = flight(p[fly], sizes[fly], random)
         if last:
             open_ = np.flatnonzero((p > 0) & (p < 1))
-            p[open_] = landing(p[open_], float(random.random()))
+            p[open_] = landing(p[open_], sizes[open_].astype(float), random)
         return rows.assign(p=p)
 
     return run
@@ -114,8 +132,10 @@ def mix_sources(
     A document of a source is expected ``target / source_size`` times. The whole part is taken as it is; the
     fraction is an inclusion probability, and the cube method draws a sample whose number of documents and of
     words is as expected. Blocks of about ``block`` documents of one source fly apart, largest documents first;
-    at most two small documents of a block stay open and fly again in the next round, with those of other
-    blocks, until one block is left to land. ``row``: a column that numbers the rows and is returned too.
+    at most two documents of a block stay open and fly again in the next round, with those of other blocks, until
+    one block is left. There the 9 largest documents and 5 of evenly spaced ranks do not fly; with the open two they
+    land on the sample of least imbalance, first of words, then of number. ``row``: a column that numbers the rows
+    and is returned too.
 
     Null text has no words; it is drawn like others and takes none. A null source is a source. Null ids and
     repeated rows are documents of their own. A mix of no words takes nothing. The same table gives the same

@@ -4,6 +4,7 @@ import base64
 import collections
 import gzip
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -333,8 +334,18 @@ def test_flight_keeps_both_totals():
         out = mixing.flight(p, sizes, r)
         assert out.sum() == pytest.approx(p.sum()) and (out * sizes).sum() == pytest.approx((p * sizes).sum())
         assert ((out > 0) & (out < 1)).sum() <= 2 and ((0 <= out) & (out <= 1)).all()
-    often = np.mean([mixing.landing(np.array([0.3, 0.9]), u) for u in r.random(4000)], axis=0)
-    assert often == pytest.approx([0.3, 0.9], abs=0.03)
+
+
+def test_landing_is_the_sample_of_least_imbalance():
+    r = np.random.default_rng(3)
+    assert len(mixing.landing(np.zeros(0), np.zeros(0), r)) == 0
+    for n in range(1, 9):
+        p, sizes = r.random(n) * 0.98 + 0.01, r.integers(0, 60, n).astype(float)
+        every = [np.array(x, float) for x in itertools.product((0, 1), repeat=n)]
+        cost = lambda x: abs(x @ sizes - p @ sizes) + max(abs(x.sum() - p.sum()) - 1, 0) * sizes.mean() / 10
+        assert cost(mixing.landing(p, sizes, r)) == pytest.approx(min(map(cost, every)))
+    drawn = [mixing.landing(np.array([0.5, 0.5]), np.array([7.0, 7.0]), r)[0] for _ in range(2000)]
+    assert np.mean(drawn) == pytest.approx(0.5, abs=0.05)
 
 
 def test_mix(spark, docs, none):
@@ -348,6 +359,9 @@ def test_mix(spark, docs, none):
     for _, part in first.groupby("source"):
         assert abs(part.taken.sum() - part.target.iloc[0]) <= 2 * part["size"].max() + 1e-6
         assert part.source_size.iloc[0] == part["size"].sum()
+    whole = mixing.mix_sources(table).join(table.select("doc_id", "source"), "doc_id").toPandas()
+    for _, part in whole.groupby("source"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 0.02 * part.target.iloc[0]
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and mixing.mix_sources(docs).count() == len(awkward())
     assert mixing.mix_sources(none).count() == 0 and mixing.mixed_documents(none).count() == 0
