@@ -11,14 +11,17 @@ place nor on how dense a far-away cell is.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from geostat_spark.functions.scalar import ratio
-from geostat_spark.operators.grid import Grid, cell_names, cells_of, cells_within, children, grid_over
+from geostat_spark.operators.grid import Grid, cell_names, cells_of, children, grid_over
 from geostat_spark.operators.neighbors import distance, levels_in_use, neighbours_between
+from geostat_spark.operators.packets import SOURCES, blocks, box_gap, cells_around, contents, packed, squares, streamed
 from geostat_spark.session import cut
 
 NODES = 8
@@ -51,11 +54,27 @@ def radius_factor(n_sources: int, tolerance: float) -> float:
     return math.sqrt(2.0 * math.log(max(n_sources, 1) / tolerance))
 
 
-def _gauss(dist: Column, bandwidth: Column) -> Column:
-    """exp(-(d/b)^2/2); with no bandwidth only coincident sources count, evenly."""
-    return F.when(
-        F.col("bandwidth") > 0, F.exp(F.lit(-0.5) * (dist / bandwidth) * (dist / bandwidth))
-    ).otherwise(F.when(dist == 0, 1.0).otherwise(0.0))
+def _packets(grid: Grid, rows: DataFrame, columns: Sequence[str], id_column: str | None = None) -> DataFrame:
+    """Queries in packets whose bandwidths are equal within a factor of two and whose box is no larger than about eight of
+    them, so what a packet meets is bounded by what its rows need."""
+    rows = rows.withColumn("_scale", F.when(F.col("bandwidth") > 0, F.floor(F.log2("bandwidth"))).otherwise(F.lit(-5_000)))
+    level = F.floor(F.log2(F.lit(grid.side / 8.0)) - F.col("_scale"))
+    rows = rows.withColumn("_up", F.lit(grid.deepest) - F.least(F.greatest(level, F.lit(0)), F.lit(grid.deepest)))
+    box = F.expr(f"shiftright(_code, cast({len(grid.dims)} * _up as int))")
+    return packed(grid, rows, columns, ["_scale"], F.xxhash64("_scale", box), id_column)
+
+
+def _weights(asked: np.ndarray, held: np.ndarray, axes: int) -> np.ndarray:
+    """exp(-(d/b)^2/2) of every query and source; with no bandwidth only coincident sources count, evenly. The columns are
+    the coordinates and, for queries, the bandwidth."""
+    square, bandwidth = squares(asked[:, :axes], held[:, :axes]), asked[:, axes, None]
+    if not (bandwidth > 0).all():  # packets do not mix
+        return (square == 0).astype(float)
+    if bandwidth.min() > 1e-140:  # the square of a bandwidth is a number
+        square *= -0.5 / (bandwidth * bandwidth)
+    else:
+        square = -0.5 * (np.sqrt(square) / bandwidth) ** 2
+    return np.exp(square, out=square)
 
 
 def _lattice(
@@ -160,47 +179,62 @@ def kernel_sums(
     places = cut(places)
     measures = ["mass", *[f"sum_{v}" for v in values]]
     total = places.agg(F.sum("mass")).first()[0] or 0.0
-    asked = cut(
-        queries.select(*dims, "bandwidth").na.drop().distinct().withColumn("q", F.struct(*dims, "bandwidth"))
-    )
+    asked = cut(queries.select(*dims, "bandwidth").na.drop().distinct())
     grid = grid_over(asked.select(*dims).unionByName(places.select(*dims)), dims)
+    packets = _packets(grid, asked, [*dims, "bandwidth"])
     factor = F.lit(radius_factor(int(total), tolerance))
-    radius = F.col("bandwidth") * factor
-    level = F.floor(F.log2(F.lit(2.0 * grid.side) / F.greatest(radius, F.lit(grid.slack))))
-    level = F.least(F.greatest(level, F.lit(0)), F.lit(grid.deepest))
-    pairs = cells_within(grid, asked, radius, level)
-    here, key = [F.col(d) for d in dims], ["level", *cells]
-    done, lattice_pairs = None, None
+    radius = F.col("hi_bandwidth") * factor
+    pairs = cells_around(grid, packets.drop("data"), radius)
+    key, done, lattice_pairs = ["level", *cells], None, None
     while True:
         counts = (
             cells_of(grid, places.select(*dims), levels_in_use(pairs)).groupBy(*key).agg(F.count(F.lit(1)).alias("held"))
         )
         sized = cut(pairs.join(counts, key))
-        small = grid.cell_side(F.col("level")) <= F.col("bandwidth") * WIDEST
+        small = grid.cell_side(F.col("level")) <= F.col("lo_bandwidth") * WIDEST
         heavy = (F.col("held") > crowded) & (F.col("level") < grid.deepest)
-        light, dense = sized.where(~heavy).drop("held"), sized.where(heavy & small).drop("held")
+        light, dense = sized.where(~heavy).select("packet", *key), sized.where(heavy & small).select("packet", *key)
         done = light if done is None else done.unionByName(light)
         lattice_pairs = dense if lattice_pairs is None else lattice_pairs.unionByName(dense)
         pairs = sized.where(heavy & ~small).drop("held")
         if pairs.isEmpty():
             break
         reach = radius + F.lit(grid.slack)
-        pairs = children(grid, pairs).where(
-            grid.gap(F.col("level"), here, [F.col(c) for c in cells]) <= reach * reach
-        )
-    raw = cells_of(grid, places, levels_in_use(done)).select(
-        *key, *[F.col(d).alias(f"t_{d}") for d in dims], *measures
-    )
-    hits = done.join(raw, key).withColumn("stood_in", F.lit(0.0))
+        pairs = children(grid, pairs).where(box_gap(grid, F.col("level")) <= reach * reach)
+    raw = cells_of(grid, places, levels_in_use(done)).join(done.select(*key).distinct(), key, "left_semi")
+    met = done.join(contents(raw, key, [*dims, *measures]), key).select("packet", F.lit(1).alias("kind"), "data")
     if not lattice_pairs.isEmpty():
         nodes = _lattice(grid, lattice_pairs.select(*key).distinct(), places, measures)
-        hits = hits.unionByName(lattice_pairs.join(nodes, key).withColumn("stood_in", F.col("mass")))
-    dist = distance(here, [F.col(f"t_{d}") for d in dims])
-    w = _gauss(dist, F.col("bandwidth"))
-    beyond = F.when(F.col("bandwidth") > 0, tolerance).otherwise(0.0)
-    return hits.groupBy(*dims, "bandwidth").agg(
-        *[F.sum(w * F.col(m)).alias(m) for m in measures], F.sum("stood_in").alias("stood_in")
-    ).select(*dims, "bandwidth", *measures, (beyond + F.col("stood_in") * lattice_error(len(dims))).alias("mass_error"))
+        nodes = contents(nodes, key, [*[f"t_{d}" for d in dims], *measures])
+        met = met.unionByName(lattice_pairs.join(nodes, key).select("packet", F.lit(2).alias("kind"), "data"))
+    axes, width, error = len(dims), len(measures), lattice_error(len(dims))
+    names = [*dims, "bandwidth", *measures, "mass_error"]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, sums, stood_in = None, None, 0.0
+
+        def answer() -> pa.RecordBatch:
+            beyond = np.where(asked[:, axes] > 0, tolerance, 0.0)
+            rows = np.column_stack([asked, sums, beyond + stood_in * error])[sums[:, 0] > 0]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T.copy()], names=names)
+
+        for kind, doubles, _ in blocks(batches):
+            if kind == 0:
+                if asked is not None:
+                    yield answer()
+                asked, stood_in = doubles.reshape(-1, axes + 1), 0.0
+                sums = np.zeros((len(asked), width))
+                continue
+            held = doubles.reshape(-1, axes + width)
+            for at in range(0, len(held), SOURCES):
+                part = held[at : at + SOURCES]
+                sums += _weights(asked, part, axes) @ part[:, axes:]
+            if kind == 2:
+                stood_in += held[:, axes].sum()
+        if asked is not None:
+            yield answer()
+
+    return streamed(packets.select("packet", "data"), met, add_up, ", ".join(f"{n} double" for n in names))
 
 
 def kernel_average(
@@ -241,23 +275,46 @@ def kernel_weights(
     dims, cells = list(dims), cell_names(dims)
     sums = kernel_sums(queries, sources, (), dims, tolerance, crowded)
     asked = queries.select("id", *dims, "bandwidth").join(sums, [*dims, "bandwidth"])
-    held = sources.select(F.col("id").alias("source"), *dims).na.drop(subset=dims)
-    grid = grid_over(asked.select(*dims).unionByName(held.select(*dims)), dims)
     furthest = F.sqrt(F.greatest(F.lit(0.0), F.lit(-2.0) * F.log(F.lit(float(minimum)) * F.col("mass"))))
-    asked = asked.where(F.col("mass") * F.lit(float(minimum)) <= 1)
-    radius = F.col("bandwidth") * furthest
-    level = F.floor(F.log2(F.lit(2.0 * grid.side) / F.greatest(radius, F.lit(grid.slack))))
-    level = F.least(F.greatest(level, F.lit(0)), F.lit(grid.deepest))
-    pairs = cut(cells_within(grid, asked, radius, level))
-    targets = cells_of(grid, held, levels_in_use(pairs)).select(
-        "level", *cells, "source", *[F.col(d).alias(f"t_{d}") for d in dims]
-    )
-    dist = distance([F.col(d) for d in dims], [F.col(f"t_{d}") for d in dims])
-    return (
-        pairs.join(targets, ["level", *cells])
-        .select("id", "source", (_gauss(dist, F.col("bandwidth")) / F.col("mass")).alias("weight"))
-        .where(F.col("weight") >= F.lit(float(minimum)))
+    asked = cut(
+        asked.where(F.col("mass") * F.lit(float(minimum)) <= 1).select("id", *dims, "bandwidth", "mass", (F.col("bandwidth") * furthest).alias("radius"))
     )
+    held = cut(sources.select(F.col("id").alias("source"), *dims).na.drop(subset=dims))
+    grid = grid_over(asked.select(*dims).unionByName(held.select(*dims)), dims)
+    packets = _packets(grid, asked, [*dims, "bandwidth", "mass", "radius"], "id")
+    radius, key = F.col("hi_radius"), ["level", *cells]
+    pairs, done = cells_around(grid, packets.drop("data", "ids"), radius), None
+    while True:
+        counts = cells_of(grid, held.select(*dims), levels_in_use(pairs)).groupBy(*key).agg(F.count(F.lit(1)).alias("held"))
+        sized = cut(pairs.join(counts, key))
+        heavy = (F.col("held") > crowded) & (F.col("level") < grid.deepest)
+        light = sized.where(~heavy).select("packet", *key)
+        done = light if done is None else done.unionByName(light)
+        pairs = sized.where(heavy).drop("held")
+        if pairs.isEmpty():
+            break
+        reach = radius + F.lit(grid.slack)
+        pairs = children(grid, pairs).where(box_gap(grid, F.col("level")) <= reach * reach)
+    raw = cells_of(grid, held, levels_in_use(done)).join(done.select(*key).distinct(), key, "left_semi")
+    met = done.join(contents(raw, key, dims, "source"), key).select("packet", F.lit(1).alias("kind"), "data", "sources")
+    axes, least = len(dims), float(minimum)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, ids = None, None
+        for kind, doubles, rows in blocks(batches):
+            if kind == 0:
+                asked, ids = doubles.reshape(-1, axes + 3), rows.column("ids").flatten()
+                continue
+            held, names = doubles.reshape(-1, axes), rows.column("sources").flatten()
+            for at in range(0, len(held), SOURCES):
+                weight = _weights(asked, held[at : at + SOURCES], axes) / asked[:, axes + 1, None]
+                query, source = np.nonzero(weight >= least)
+                if len(query):
+                    columns = [ids.take(pa.array(query)), names.take(pa.array(source + at)), pa.array(weight[query, source])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "source", "weight"])
+
+    kinds = dict(asked.dtypes)["id"], dict(held.dtypes)["source"]
+    return streamed(packets.select("packet", "data", "ids"), met, pick, f"id {kinds[0]}, source {kinds[1]}, weight double")
 
 
 def fixed_bandwidth(queries: DataFrame, bandwidth: float) -> DataFrame:
