@@ -10,6 +10,7 @@ from geostat_spark.functions.scalar import capacity_factor, clip, flag, year_of_
 from geostat_spark.operators.clean import keep_top_categories, keep_with_enough_values, top_categories
 from geostat_spark.operators.ordering import quantiles
 from geostat_spark.operators.profile import histogram
+from geostat_spark.session import cut
 
 DEFAULT_YEARS = [2013, 2014, 2015, 2016, 2017]
 STABLE_BELOW = 0.1
@@ -213,7 +214,11 @@ def temporal_pattern(df: DataFrame, key: str, top: int | None = None, more_than:
 
 
 def clipped_histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 50) -> DataFrame:
-    """Distribution of a feature with its tails pulled in to [low, high]; the median is the unpulled one."""
-    pulled = df.select(clip(F.col(column), low, high).alias(column))
-    median = quantiles(df.select(column), column, {"median": 0.5}).scalar()
+    """Distribution of a feature with its tails pulled in to [low, high]; the median is the unpulled one.
+
+    The column is written out first: its passes would each derive it again, and a filter on a feature pulls the whole
+    derivation into its condition, which takes the planner minutes."""
+    values = cut(df.select(column))
+    pulled = values.select(clip(F.col(column), low, high).alias(column))
+    median = quantiles(values, column, {"median": 0.5}).scalar()
     return histogram(pulled, column, bins).drop("mean", "median").withColumn("median", median)

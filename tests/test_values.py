@@ -149,6 +149,20 @@ def test_yearly_features(spark):
     assert got[6].cf_trend == pytest.approx(0.1 / 2 + 0.0, abs=0.2) and got[6].cf_range == pytest.approx(0.7)
 
 
+def test_histogram_of_a_feature_reads_the_written_column(spark):
+    rows = [(i, 1.0, *[0.1 * (1 + (i * y) % 7) for y in range(1, 5)]) for i in range(40)]
+    years = [2014, 2015, 2016, 2017]
+    df = spark.createDataFrame(rows, ["site_id", "capacity_mw", *[temporal.generation_column(y) for y in years]])
+    found = temporal.temporal_features(df, years, hours_factor=1.0).select("cf_cv")
+    out = temporal.clipped_histogram(found, "cf_cv", 0.0, 1.0, bins=5)
+    # no pass derives the feature again, in a filter least of all
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    values = sorted(column(found))
+    got = out.orderBy("bin").collect()
+    assert sum(r["n"] for r in got) == 40 and got[0]["bin_low"] == pytest.approx(values[0])
+    assert got[0]["median"] == pytest.approx((values[19] + values[20]) / 2)
+
+
 def test_gini_theil_lorenz(spark):
     assert inequality.gini(values(spark, [4.0, 1.0, 3.0, 2.0]), "v").first()[0] == pytest.approx(0.25)
     assert inequality.gini(values(spark, [5.0] * 6), "v").first()[0] == pytest.approx(0.0)
