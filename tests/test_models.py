@@ -123,6 +123,22 @@ def test_cross_validation_and_ablation(spark):
     assert [r.feature_group for r in out] == ["Useful", "Noise"] and out[0].r2_drop > 0.1 and out[1].n_features == 2
 
 
+def test_fits_read_bounded_partitions(spark, monkeypatch):
+    monkeypatch.setattr(models, "ROWS_A_FILE", 50)
+    df, _, _ = table(spark, 1_000)
+    before, seen = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+
+    def maker(train):
+        seen.append(max(train.groupBy(F.spark_partition_id()).count().toPandas()["count"]))
+        return models.least_squares()
+
+    rows = df.select("id", "label", "features").coalesce(1)
+    models.cross_validate(rows, {"m": maker}, folds=2, id_column="id")
+    models.fitted(maker, models.training_table(rows))
+    assert len(seen) == 3 and max(seen) <= 100
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
 def test_models_and_split_are_reused(spark, tmp_path):
     df, _, _ = table(spark)
     calls = []
