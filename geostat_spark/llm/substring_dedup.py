@@ -18,6 +18,7 @@ from geostat_spark.session import cut
 # Perfect difference sets; every distance modulo the period is a difference of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 STRETCH = 1 << 18  # words whose windows are hashed at a time
+MANY = 1 << 16  # words of short documents that are hashed together
 
 
 def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
@@ -49,14 +50,40 @@ def _anchor_arrays(hashes: np.ndarray, length: int) -> Iterator[tuple[np.ndarray
         part = hashes[low:high]
         first, end = np.maximum(own - around, 0), np.minimum(own + reach + around, n)
         key = Windows(part).between(own - low, own - low + reach)
-        content = Windows(part, OTHER_ODD).between(first - low, end - low)
-        shape = ((own - first) * (4 * length) + (end - own)).astype(np.uint64)
-        yield own, key.view(np.int64), mixed(content ^ mixed(shape * ODD)).view(np.int64)
+        yield own, key.view(np.int64), _surroundings(part, own, first, end, low, length)
 
 
-def _per_document(rows: DataFrame, of, fields: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def _surroundings(part: np.ndarray, own: np.ndarray, first: np.ndarray, end: np.ndarray, low, length: int) -> np.ndarray:
+    """Hashes of the words [first, end) around the anchors ``own``, and of where they stand in them; ``low``: the place of
+    ``part``'s first word."""
+    content = Windows(part, OTHER_ODD).between(first - low, end - low)
+    shape = ((own - first) * (4 * length) + (end - own)).astype(np.uint64)
+    return mixed(content ^ mixed(shape * ODD)).view(np.int64)
+
+
+def _anchors_of_many(documents: list[np.ndarray], length: int, with_content: bool) -> tuple[np.ndarray, ...]:
+    """(document, place, key[, content]) of the anchors of documents of at most ``STRETCH`` words, all at a time: hashes of
+    stretches do not depend on what stands before them."""
+    period, cover = cover_for(length)
+    reach, around = length - period + 1, period - 1
+    sizes = np.array([len(d) for d in documents], np.int64)
+    joined = np.concatenate(documents)
+    at = _places(max(int(sizes.max()) - reach + 1, 0), period, cover)
+    held = np.where(sizes >= length, np.searchsorted(at, sizes - reach + 1), 0)
+    which = np.repeat(np.arange(len(documents)), held)
+    own = at[np.arange(len(which)) - np.repeat(np.cumsum(held) - held, held)]
+    low = -(np.cumsum(sizes) - sizes)[which]
+    key = Windows(joined).between(own - low, own - low + reach).view(np.int64)
+    if not with_content:
+        return which, own, key
+    first, end = np.maximum(own - around, 0), np.minimum(own + reach + around, sizes[which])
+    return which, own, key, _surroundings(joined, own, first, end, low, length)
+
+
+def _per_document(rows: DataFrame, of, fields: str, extra: tuple[str, ...] = (), of_many=None) -> DataFrame:
     """A row (id, mark, fields) for each element of the arrays that ``of(word hashes, extra values)`` yields; rows:
-    (id, mark, text, extra)."""
+    (id, mark, text, extra). ``of_many(list of word hashes)``, if given, yields the same for many documents at a time, after
+    the number of the document in the list."""
     kind = rows.schema["id"].dataType.simpleString()
     names = ["id", "mark", *[f.split()[0] for f in fields.split(", ")]]
 
@@ -66,22 +93,41 @@ def _per_document(rows: DataFrame, of, fields: str, extra: tuple[str, ...] = ())
             places: list[np.ndarray] = []
             found: list[tuple] = []
             size = 0
+            waiting: list[np.ndarray] = []
+            waiting_at: list[int] = []
+            waiting_size = 0
 
             def answer() -> pa.RecordBatch:
                 take = pa.array(np.concatenate(places))
                 columns = [pa.array(np.concatenate(c)) for c in zip(*found)]
                 return pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("mark").take(take), *columns], names=names)
 
+            def add_waiting() -> int:
+                which, *arrays = of_many(waiting)
+                places.append(np.array(waiting_at, np.int64)[which])
+                found.append(tuple(arrays))
+                return len(which)
+
             for place in range(batch.num_rows):
-                data = utf8(batch.column("text")[place].as_py())
-                for arrays in of(memory.of(data), *[batch.column(c)[place].values.to_numpy() for c in extra]):
-                    if len(arrays[0]):
-                        places.append(np.full(len(arrays[0]), place))
-                        found.append(arrays)
-                        size += len(arrays[0])
+                hashes = memory.of(utf8(batch.column("text")[place].as_py()))
+                if of_many is not None and len(hashes) <= STRETCH:
+                    waiting.append(hashes)
+                    waiting_at.append(place)
+                    waiting_size += len(hashes)
+                    if waiting_size >= MANY:
+                        size += add_waiting()
+                        waiting, waiting_at, waiting_size = [], [], 0
+                else:
+                    for arrays in of(hashes, *[batch.column(c)[place].values.to_numpy() for c in extra]):
+                        if len(arrays[0]):
+                            places.append(np.full(len(arrays[0]), place))
+                            found.append(arrays)
+                            size += len(arrays[0])
                 if size > 100_000:
                     yield answer()
                     places, found, size = [], [], 0
+            if waiting:
+                size += add_waiting()
             if size:
                 yield answer()
 
@@ -102,14 +148,20 @@ def _met(rows: DataFrame, length: int) -> DataFrame:
     """(id, mark, place, key, content): the anchors that documents of different ids share."""
     several = (F.min("id") < F.max("id")) | (F.max(F.col("id").isNull()) & F.min("id").isNotNull())
     keys = (
-        _per_document(rows, lambda h: ((key,) for _, key, _ in _anchor_arrays(h, length)), "key long")
+        _per_document(
+            rows, lambda h: ((key,) for _, key, _ in _anchor_arrays(h, length)), "key long",
+            of_many=lambda many: [a for i, a in enumerate(_anchors_of_many(many, length, False)) if i != 1],
+        )
         .groupBy("key")
         .agg(several.alias("several"), F.count(F.lit(1)).alias("n"))
         .where("several")
         .select("key", "n")
-    )
+    )
     keys = cut(keys)
-    full = _per_document(rows, lambda h: _anchor_arrays(h, length), "place long, key long, content long")
+    full = _per_document(
+        rows, lambda h: _anchor_arrays(h, length), "place long, key long, content long",
+        of_many=lambda many: _anchors_of_many(many, length, True),
+    )
     return cut(full.join(keys.select("key"), "key", "left_semi").select("id", "mark", "place", "key", "content"))
 
 

@@ -82,6 +82,17 @@ def test_anchors_do_not_depend_on_stretches(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, parts)) and len(whole[0]) > 150
 
 
+def test_anchors_of_many_documents_are_those_of_each():
+    """Texts are hashed together, so that a short text costs no round of array calls of its own."""
+    r = np.random.default_rng(4)
+    many = [r.integers(0, 1 << 60, n).astype(np.uint64) for n in (0, 49, 50, 1, 51, 400, 0, 73, 1_000)]
+    which, *got = substring_dedup._anchors_of_many(many, 50, True)
+    each = [(i, *arrays) for i, h in enumerate(many) for arrays in substring_dedup._anchor_arrays(h, 50)]
+    assert (which == np.concatenate([np.full(len(e[1]), e[0]) for e in each])).all() and len(which) > 250
+    assert all((g == np.concatenate(e)).all() for g, e in zip(got, list(zip(*each))[1:]))
+    assert len(substring_dedup._anchors_of_many(many[:2], 50, False)[0]) == 0
+
+
 def test_word_pieces(monkeypatch):
     data = ("é ab\x0bc  \t" * 500 + "x" * 300).encode()
     monkeypatch.setattr(word_arrays, "PIECE", 17)
