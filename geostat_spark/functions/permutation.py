@@ -35,20 +35,24 @@ def grid_sides(n: int) -> tuple[int, int]:
 def permuted(index: np.ndarray, n: int, seed: int, number: np.ndarray | int) -> np.ndarray:
     """Image of ``index`` (0..n-1) under permutation ``number``."""
     a, b = grid_sides(n)
-    out, number = np.broadcast_arrays(np.asarray(index, np.int64), np.asarray(number, np.int64))
-    out, number = out.ravel().copy(), number.ravel()
-    keys = [round_key(seed, number, turn) for turn in range(ROUNDS)]
-    todo = np.arange(len(out))
-    while len(todo):
-        left, right = out[todo] // b, out[todo] % b
+    index, number = np.asarray(index, np.int64), np.asarray(number, np.int64)
+    shape = np.broadcast_shapes(index.shape, number.shape)
+    out = np.broadcast_to(index, shape).ravel()  # a copy, but for an array that needs no broadcast
+    out = out.copy() if np.shares_memory(out, index) else out
+    # a key belongs to a permutation, so it is worked out before it meets the places
+    keys = [np.broadcast_to(round_key(seed, number, turn), shape).ravel() for turn in range(ROUNDS)]
+    todo = None
+    while todo is None or len(todo):
+        at = slice(None) if todo is None else todo
+        left, right = out[at] // b, out[at] % b
         for turn, key in enumerate(keys):
             if turn % 2 == 0:
-                left = (left + mixed(right, key[todo])) % a
+                left = (left + mixed(right, key[at])) % a
             else:
-                right = (right + mixed(left, key[todo])) % b
-        out[todo] = left * b + right
-        todo = todo[out[todo] >= n]
-    return out.reshape(np.broadcast_shapes(np.shape(index), number.shape if np.ndim(index) == 0 else np.shape(index)))
+                right = (right + mixed(left, key[at])) % b
+        out[at] = left * b + right
+        todo = np.flatnonzero(out >= n) if todo is None else todo[out[todo] >= n]
+    return out.reshape(shape)
 
 
 def drawn(n: int, k: int, seed: int, numbers: int) -> np.ndarray:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geostat_spark.functions.permutation import drawn, permuted
@@ -18,7 +20,12 @@ from geostat_spark.operators.grid import grid_over
 from geostat_spark.operators.hypothesis import normal_p
 from geostat_spark.operators.neighbors import edges, knn, neighbours
 from geostat_spark.operators.ordering import hash_position, with_row_number
-from geostat_spark.session import cut
+from geostat_spark.session import cut, shuffles_dropped
+
+# Bytes of permuted values that may lie in shuffle files at a time, about 24 a value; and permutations of a round at least.
+ROUND_BYTES, ROUND_LEAST = 8 << 30, 16
+# Values that a task puts together at a time: blocks and areas have more sites where a round has fewer permutations.
+GRID = 1 << 20
 
 
 def knn_weights(points: DataFrame, k: int = 8, dims: Sequence[str] = ("x", "y")) -> DataFrame:
@@ -115,27 +122,31 @@ def _numbered(
     return cut(neighbours(rows, k, dims, carry=["z", "idx"], by=["g"])), dict(enumerate(counted))
 
 
-def _permuted_values(found: DataFrame, groups: dict, permutations: int, seed: int, width: int = 1_024) -> DataFrame:
-    """(g, idx, values): the values that the permutations put at each place, in an array by permutation.
+def _permuted_values(found: DataFrame, groups: dict, numbers: range, seed: int) -> DataFrame:
+    """(g, idx, values): the values that the permutations ``numbers`` put at each place, in an array by permutation.
 
     Permutation p sends the value of row i to the p-th keyed image of i, which is computed for i alone. Values travel
-    once, packed by block of ``width`` places, and each block is put together in a task of its own."""
+    once, packed by block of places, and each block is put together in a task of its own."""
     sizes = {g: n for g, (_, n) in groups.items()}
+    permutations = len(numbers)
+    width = max(1, GRID // permutations)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = np.arange(permutations, dtype=np.int64)
+        number = np.array(numbers, np.int64)
+        together = max(1, GRID // 2 // permutations)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, together):
+                part = batch.slice(at, together)
                 group, idx, z = (part.column(c).to_numpy(zero_copy_only=False) for c in ("g", "idx", "z"))
                 for g in np.unique(group):
                     own = group == g
                     rows = int(own.sum())
-                    to = permuted(np.repeat(idx[own], permutations), sizes[int(g)], seed, np.tile(number, rows))
-                    order = np.argsort(to // width, kind="stable")
-                    to, what, which = to[order], np.repeat(z[own], permutations)[order], np.tile(number, rows)[order]
+                    to = permuted(idx[own][:, None], sizes[int(g)], seed, number).ravel()
+                    block = to // width
+                    order = np.argsort(block.astype(np.uint16) if sizes[int(g)] // width < 1 << 16 else block, kind="stable")
+                    to, what, which = to[order], np.repeat(z[own], permutations)[order], np.tile(number - numbers.start, rows)[order]
                     edge = np.concatenate(([0], np.flatnonzero(np.diff(to // width)) + 1, [len(to)]))
-                    cells = (to % width * permutations + which).astype(np.int64)
+                    cells = (to % width * permutations + which).astype(np.int32)
                     spans = list(zip(edge[:-1], edge[1:]))
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -167,7 +178,7 @@ def _permuted_values(found: DataFrame, groups: dict, permutations: int, seed: in
                     if key is not None:
                         yield answer()
                     key, grid = (g, block), np.full(width * permutations, np.nan)
-                grid[np.frombuffer(cells, np.int64)] = np.frombuffer(sent, np.float64)
+                grid[np.frombuffer(cells, np.int32)] = np.frombuffer(sent, np.float64)
         if key is not None:
             yield answer()
 
@@ -177,41 +188,54 @@ def _permuted_values(found: DataFrame, groups: dict, permutations: int, seed: in
 
 
 def _permuted_cross(
-    found: DataFrame, groups: dict, dims: Sequence[str], ks: Sequence[int], permutations: int, seed: int, area: int = 256
+    found: DataFrame, groups: dict, dims: Sequence[str], ks: Sequence[int], permutations: int, seed: int
 ) -> DataFrame:
     """(g, k, perm, cross): the sum of value times mean of the k nearest values, for each permutation of the values.
 
-    Sites are dealt to areas of ``area`` neighbouring sites; an area fetches the arrays of its sites and of their
-    neighbours once each and sums them as matrices. No site's array goes to more areas than it has neighbours in."""
+    Sites are dealt to areas of neighbouring sites; an area fetches the arrays of its sites and of their neighbours once
+    each and sums them as matrices. No site's array goes to more areas than it has neighbours in. Permutations take
+    rounds whose values fill ``ROUND_BYTES`` of shuffle files, which go before the next round begins."""
+    held_by = 24 * max(1, sum(n for _, n in groups.values()))
+    of_round = min(permutations, max(ROUND_LEAST, ROUND_BYTES // held_by))
+    area = max(1, GRID // 4 // of_round)
     grid = grid_over(found, dims)
     code = F.shiftleft(F.shiftright(grid.code(), 12), 12) + F.pmod(F.xxhash64("id"), F.lit(4_096))  # copies are spread
     others = F.transform("near", lambda e: e["idx"]).alias("others")
     placed = with_row_number(found.select("id", "g", "idx", others, *dims), code, "id", "_place")
     placed = cut(placed.select("g", "idx", "others", F.expr(f"(_place - 1) div {area}").alias("area")))
-    wanted = placed.select("g", "area", F.explode(F.concat(F.array("idx"), "others")).alias("idx")).distinct()
-    fetched = _permuted_values(found, groups, permutations, seed).join(wanted, ["g", "idx"])
-    fetched = fetched.select(F.col("g").alias("_g"), F.col("area").alias("_area"), "idx", "values")
+    wanted = cut(placed.select("g", "area", F.explode(F.concat(F.array("idx"), "others")).alias("idx")).distinct())
     ks = [int(k) for k in ks]
 
-    def sums(key: tuple, sites: pa.Table, values: pa.Table) -> pa.Table:
-        held = values.column("idx").to_numpy()
-        order = np.argsort(held)
-        matrix = values.column("values").combine_chunks().flatten().to_numpy().reshape(len(held), permutations)
-        find = lambda idx: order[np.searchsorted(held, idx, sorter=order)]
-        total = np.zeros((len(ks), permutations))
-        for idx, near in zip(sites.column("idx").to_pylist(), sites.column("others").to_pylist()):
-            if near:
-                upto = np.cumsum(matrix[find(np.array(near))], axis=0)
-                own = matrix[find(np.array([idx]))[0]]
-                for row, k in enumerate(ks):
-                    m = min(k, len(near))
-                    total[row] += own * upto[m - 1] / m
-        g = pa.array(np.full(total.size, key[0].as_py(), np.int32))
-        perm = pa.array(np.tile(np.arange(permutations, dtype=np.int32), len(ks)))
-        return pa.table([g, pa.array(np.repeat(np.array(ks, np.int32), permutations)), perm, pa.array(total.ravel())], names=["g", "k", "perm", "part"])
-
-    parts = placed.groupBy("g", "area").cogroup(fetched.groupBy("_g", "_area")).applyInArrow(sums, "g int, k int, perm int, part double")
-    return parts.groupBy("g", "k", "perm").agg(F.sum("part").alias("cross"))
+    def one_round(numbers: range) -> DataFrame:
+        fetched = _permuted_values(found, groups, numbers, seed).join(wanted, ["g", "idx"])
+        fetched = fetched.select(F.col("g").alias("_g"), F.col("area").alias("_area"), "idx", "values")
+
+        def sums(key: tuple, sites: pa.Table, values: pa.Table) -> pa.Table:
+            held = values.column("idx").to_numpy()
+            order = np.argsort(held)
+            matrix = values.column("values").combine_chunks().flatten().to_numpy().reshape(len(held), len(numbers))
+            find = lambda idx: order[np.searchsorted(held, idx, sorter=order)]
+            near = sites.column("others").combine_chunks()
+            count = pc.fill_null(pc.list_value_length(near), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            first, at = np.cumsum(count) - count, find(near.flatten().to_numpy())
+            own = matrix[find(sites.column("idx").to_numpy())]
+            upto, total = np.zeros_like(own), np.zeros((len(ks), len(numbers)))
+            some = count > 0
+            for j in range(max(ks)):
+                more = np.flatnonzero(count > j)
+                upto[more] += matrix[at[first[more] + j]]
+                for row in (row for row, k in enumerate(ks) if k == j + 1):
+                    total[row] = (own[some] * upto[some] / np.minimum(count[some], j + 1)[:, None]).sum(axis=0)
+            g = pa.array(np.full(total.size, key[0].as_py(), np.int32))
+            perm = pa.array(np.tile(np.array(numbers, np.int32), len(ks)))
+            return pa.table([g, pa.array(np.repeat(np.array(ks, np.int32), len(numbers))), perm, pa.array(total.ravel())], names=["g", "k", "perm", "part"])
+
+        parts = placed.groupBy("g", "area").cogroup(fetched.groupBy("_g", "_area")).applyInArrow(sums, "g int, k int, perm int, part double")
+        return cut(parts.groupBy("g", "k", "perm").agg(F.sum("part").alias("cross")))
+
+    with shuffles_dropped(found.sparkSession):
+        rounds = [one_round(range(p, min(p + of_round, permutations))) for p in range(0, permutations, of_round)]
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def _permutation_tests(

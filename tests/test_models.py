@@ -261,6 +261,20 @@ def test_permutation_tests_equal_direct_ones(spark):
     assert normal.z_score == pytest.approx(one.z_score, rel=0.25)
 
 
+def test_permutations_take_rounds_of_bounded_size(spark, monkeypatch):
+    """What lies in shuffle files at a time does not grow with sites times permutations."""
+    n, rounds, whole = 70, [], spatial._permuted_values
+    xy, v = rng.random((n, 2)), rng.random(n)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "x": xy[:, 0], "y": xy[:, 1], "value": v}))
+    monkeypatch.setattr(spatial, "ROUND_BYTES", 24 * n * 25)
+    monkeypatch.setattr(spatial, "GRID", 400)
+    monkeypatch.setattr(spatial, "_permuted_values", lambda f, g, numbers, s: rounds.append(numbers) or whole(f, g, numbers, s))
+    got = {r["k"]: tuple(r)[1:] for r in spatial.morans_i_by_k(df, "value", (3, 5), permutations=60).collect()}
+    assert [list(r) for r in rounds] == [list(range(25)), list(range(25, 50)), list(range(50, 60))]
+    want = direct_tests(xy, v, (3, 5), 60)
+    assert all(got[k] == pytest.approx(want[k]) for k in (3, 5))
+
+
 def test_local_significance_matches_direct_draws(spark):
     n = 100
     xy = rng.random((n, 2))
