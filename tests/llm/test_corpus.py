@@ -571,4 +571,4 @@ def test_language_stage_rejects_texts_without_letters_only(spark, monkeypatch):
 
 
 def test_bench_names_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}
