@@ -302,6 +302,23 @@ def test_bpe(spark, docs, none):
     assert bpe.token_digests(none, queries.tokenizer_path()).count() == 0
 
 
+def test_few_texts_are_split_up_at_a_time(monkeypatch):
+    encoder = bpe.Encoder(bpe._definition(queries.tokenizer_path()))
+    texts = [prose(seed, 2_000, 5_000) for seed in range(120)] + [None, ""]
+    held, prepare = [], encoder.prepare
+
+    def watched(group):
+        held.append(sum(len(chunk) + 1 for text in group for _, chunks in text for chunk in chunks))
+        prepare(group)
+
+    monkeypatch.setattr(encoder, "prepare", watched)
+    found = bpe._described(encoder, texts, lambda d: d)
+    assert sum(held) > 1 << 20 and max(held) <= (1 << 18) + max(len(t or "") for t in texts) + 1_000
+    other = bpe.Encoder(encoder.library.to_str())
+    other.prepare(split := [other.split(t) for t in texts])
+    assert found == [other.describe(t) for t in split]
+
+
 def test_every_token_can_be_reached():
     encoder = bpe.Encoder(bpe._definition(queries.tokenizer_path()))
     assert encoder.merges.reached == set(encoder.merges.made)
