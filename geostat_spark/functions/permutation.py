@@ -55,6 +55,34 @@ def permuted(index: np.ndarray, n: int, seed: int, number: np.ndarray | int) ->
     return out.reshape(shape)
 
 
+def sources(left: np.ndarray, right: np.ndarray, n: int, seed: int, number: int) -> np.ndarray:
+    """The indices that permutation ``number`` sends to the places left * b + right: the network run backwards. A turn adds
+    one of few numbers, which are worked out once for all places."""
+    a, b = grid_sides(n)
+    sides = (np.arange(b, dtype=np.int64), a), (np.arange(a, dtype=np.int64), b)
+    tables = [mixed(sides[turn % 2][0], round_key(seed, number, turn)) % sides[turn % 2][1] for turn in range(ROUNDS)]
+
+    def back(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        left, right, step = left.copy(), right.copy(), np.empty_like(left)
+        for turn in reversed(range(ROUNDS)):
+            moved, other, side = (left, right, a) if turn % 2 == 0 else (right, left, b)
+            np.take(tables[turn], other, out=step, mode="clip")
+            moved -= step
+            np.right_shift(moved, 63, out=step)  # -1 below zero
+            step &= side
+            moved += step
+        left *= b
+        left += right
+        return left
+
+    out = back(left, right)
+    todo = np.flatnonzero(out >= n)
+    while len(todo):
+        out[todo] = back(out[todo] // b, out[todo] % b)
+        todo = todo[out[todo] >= n]
+    return out
+
+
 def drawn(n: int, k: int, seed: int, numbers: int) -> np.ndarray:
     """``numbers`` draws of k different values from 0..n-1, each set equally likely, by Floyd's method: for each j of
     the last k values a value up to j is drawn, and j itself is taken where that one has been."""

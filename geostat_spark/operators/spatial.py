@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geostat_spark.functions.permutation import drawn, permuted
+from geostat_spark.functions.permutation import drawn, grid_sides, permuted, sources
 from geostat_spark.functions.scalar import ratio
 from geostat_spark.operators.attach import attach
 from geostat_spark.operators.clean import keep_top_categories
@@ -20,12 +20,14 @@ from geostat_spark.operators.grid import grid_over
 from geostat_spark.operators.hypothesis import normal_p
 from geostat_spark.operators.neighbors import edges, knn, neighbours
 from geostat_spark.operators.ordering import hash_position, with_row_number
-from geostat_spark.session import cut, shuffles_dropped
+from geostat_spark.session import cut, shuffle_width, shuffles_dropped
 
 # Bytes of permuted values that may lie in shuffle files at a time, about 24 a value; and permutations of a round at least.
 ROUND_BYTES, ROUND_LEAST = 8 << 30, 16
 # Values that a task puts together at a time: blocks and areas have more sites where a round has fewer permutations.
 GRID = 1 << 20
+# Values of up to this part of ROUND_BYTES (13 million of them) are sent to every task; areas have so many sites then.
+SHIPPED, AREA = 80, 1 << 14
 
 
 def knn_weights(points: DataFrame, k: int = 8, dims: Sequence[str] = ("x", "y")) -> DataFrame:
@@ -187,22 +189,94 @@ def _permuted_values(found: DataFrame, groups: dict, numbers: range, seed: int)
     return sorted_.mapInArrow(receive, "g int, idx long, values array<double>")
 
 
+def _all_values(found: DataFrame, starts: np.ndarray, rows: int) -> np.ndarray:
+    """The values of all groups, one after the other, each in the order of ``idx``."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, idx, z = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "idx", "z"))
+            columns = [(starts[g] + idx).astype(np.uint32), z.astype(np.float64)]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["places", "z"])
+
+    out = np.zeros(rows)
+    for row in found.select("g", "idx", "z").mapInArrow(send, "places binary, z binary").toLocalIterator():
+        out[np.frombuffer(row["places"], np.uint32)] = np.frombuffer(row["z"], np.float64)
+    return out
+
+
+def _shipped_cross(
+    found: DataFrame, groups: dict, dims: Sequence[str], ks: Sequence[int], permutations: int, seed: int
+) -> DataFrame:
+    """``_permuted_cross`` where all values together are small: each task has them whole, and looks up, permutation by
+    permutation, what lies at the sites of its areas and at their neighbours. No permuted value crosses the network."""
+    sizes = [n for _, n in groups.values()]
+    starts, rows, ks = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64), sum(sizes), [int(k) for k in ks]
+    spark, area = found.sparkSession, max(256, min(AREA, rows // 64))
+    placed = _areas(found, dims, area)
+    areas = -(-rows // area)
+    placed = placed.repartition(min(areas, max(shuffle_width(found), areas // 4)), "g", "area")
+    values = spark.sparkContext.broadcast(_all_values(found, starts, rows))
+
+    def sums(key: tuple, sites: pa.Table) -> pa.Table:
+        g = key[0].as_py()
+        n, own = sizes[g], sites.column("idx").to_numpy()
+        z = values.value[starts[g] : starts[g] + n]
+        near = sites.column("others").combine_chunks()
+        count = pc.fill_null(pc.list_value_length(near), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        links, first = near.flatten().to_numpy(), np.cumsum(count) - count
+        places, at = np.unique(np.concatenate([own, links]), return_inverse=True)
+        own, at = at[: len(own)], at[len(own) :]
+        none = len(places)  # a place of value 0 for neighbours that a site lacks
+        steps = []
+        for j in range(max(ks)):
+            to, more = np.full(len(own), none), count > j
+            to[more] = at[first[more] + j]
+            steps.append((to, np.maximum(np.minimum(count, j + 1), 1).astype(float)))
+        left, right = np.divmod(places, grid_sides(n)[1])
+        held, total = np.zeros(none + 1), np.zeros((len(ks), permutations))
+        step, upto = np.empty(len(own)), np.empty(len(own))
+        for p in range(permutations):
+            np.take(z, sources(left, right, n, seed, p), out=held[:none], mode="clip")
+            here = held[own]
+            upto[:] = 0.0
+            for j, (to, shared) in enumerate(steps):
+                upto += np.take(held, to, out=step, mode="clip")
+                for row in (row for row, k in enumerate(ks) if k == j + 1):
+                    total[row, p] = (here * upto / shared).sum()
+        kept = [np.full(total.size, g, np.int32), np.repeat(np.array(ks, np.int32), permutations), np.tile(np.arange(permutations, dtype=np.int32), len(ks)), total.ravel()]
+        return pa.table([pa.array(c) for c in kept], names=["g", "k", "perm", "part"])
+
+    parts = placed.groupBy("g", "area").applyInArrow(sums, "g int, k int, perm int, part double")
+    out = cut(parts.groupBy("g", "k", "perm").agg(F.sum("part").alias("cross")))
+    values.destroy()
+    return out
+
+
+def _areas(found: DataFrame, dims: Sequence[str], area: int) -> DataFrame:
+    """(g, idx, others, area), written out: sites with their neighbours' places, dealt to areas of neighbouring sites."""
+    grid = grid_over(found, dims)
+    code = F.shiftleft(F.shiftright(grid.code(), 12), 12) + F.pmod(F.xxhash64("id"), F.lit(4_096))  # copies are spread
+    others = F.transform("near", lambda e: e["idx"]).alias("others")
+    placed = with_row_number(found.select("id", "g", "idx", others, *dims), code, "id", "_place")
+    return cut(placed.select("g", "idx", "others", F.expr(f"(_place - 1) div {area}").alias("area")))
+
+
 def _permuted_cross(
     found: DataFrame, groups: dict, dims: Sequence[str], ks: Sequence[int], permutations: int, seed: int
 ) -> DataFrame:
     """(g, k, perm, cross): the sum of value times mean of the k nearest values, for each permutation of the values.
 
+    Values that fill no more than a ``SHIPPED``-th of ``ROUND_BYTES`` go to every task whole. Otherwise:
+
     Sites are dealt to areas of neighbouring sites; an area fetches the arrays of its sites and of their neighbours once
     each and sums them as matrices. No site's array goes to more areas than it has neighbours in. Permutations take
     rounds whose values fill ``ROUND_BYTES`` of shuffle files, which go before the next round begins."""
-    held_by = 24 * max(1, sum(n for _, n in groups.values()))
+    rows = sum(n for _, n in groups.values())
+    if 0 < 8 * rows * SHIPPED <= ROUND_BYTES:
+        return _shipped_cross(found, groups, dims, ks, permutations, seed)
+    held_by = 24 * max(1, rows)
     of_round = min(permutations, max(ROUND_LEAST, ROUND_BYTES // held_by))
-    area = max(1, GRID // 4 // of_round)
-    grid = grid_over(found, dims)
-    code = F.shiftleft(F.shiftright(grid.code(), 12), 12) + F.pmod(F.xxhash64("id"), F.lit(4_096))  # copies are spread
-    others = F.transform("near", lambda e: e["idx"]).alias("others")
-    placed = with_row_number(found.select("id", "g", "idx", others, *dims), code, "id", "_place")
-    placed = cut(placed.select("g", "idx", "others", F.expr(f"(_place - 1) div {area}").alias("area")))
+    placed = _areas(found, dims, max(1, GRID // 4 // of_round))
     wanted = cut(placed.select("g", "area", F.explode(F.concat(F.array("idx"), "others")).alias("idx")).distinct())
     ks = [int(k) for k in ks]
 

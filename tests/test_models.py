@@ -275,6 +275,25 @@ def test_permutations_take_rounds_of_bounded_size(spark, monkeypatch):
     assert all(got[k] == pytest.approx(want[k]) for k in (3, 5))
 
 
+def test_sources_are_where_a_permutation_takes_its_values_from():
+    for n in (1, 2, 5, 64, 1000, 4_999):
+        places = permutation.permuted(np.arange(n), n, 42, 3)
+        left, right = np.divmod(places, permutation.grid_sides(n)[1])
+        assert (permutation.sources(left, right, n, 42, 3) == np.arange(n)).all()
+
+
+def test_small_tables_of_values_are_not_shuffled_by_permutation(spark, monkeypatch):
+    """All values at every task, or permuted values by shuffle: the same sums, and only the second packs values."""
+    n, packed, whole = 90, [], spatial._permuted_values
+    xy, v = rng.random((n, 2)), rng.random(n)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "x": xy[:, 0], "y": xy[:, 1], "value": v}))
+    monkeypatch.setattr(spatial, "_permuted_values", lambda *a: packed.append(a) or whole(*a))
+    shipped = tuple(spatial.morans_i_permutation(df, "value", 5, permutations=49).first())
+    assert not packed
+    monkeypatch.setattr(spatial, "SHIPPED", 1 << 40)
+    assert tuple(spatial.morans_i_permutation(df, "value", 5, permutations=49).first()) == pytest.approx(shipped, rel=1e-9) and packed
+
+
 def test_local_significance_matches_direct_draws(spark):
     n = 100
     xy = rng.random((n, 2))
